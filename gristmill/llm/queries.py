@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, packing, secret_scan, token_counts, token_output, toxicity
+from . import chat, decontam, fingerprint, packing, pii, secret_scan, token_counts, token_output, toxicity
 from .tokens import default_path
 
 
@@ -31,6 +31,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[n(k) for k in pii.KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
@@ -40,6 +46,16 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(table(spark, sf_dir, "documents"), default_path())
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    out = chat.conversations_back(chat.examples(given.unionByName(own)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.secret_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -57,8 +73,10 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
     "op6_decontamination": op6_decontamination,
     "op7_token_output": op7_token_output,
+    "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
 }
