@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, packing, pii, secret_scan, token_counts, token_output, toxicity
+from . import chat, decontam, fingerprint, ngram_join, packing, pii, secret_scan, token_counts, token_output, toxicity
 from .tokens import default_path
 
 
@@ -18,6 +18,10 @@ def joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))[0]
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fingerprint.compared_with_next(docs, fingerprint.level_ranks(docs))
@@ -70,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_fingerprints": op2_fingerprints,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
