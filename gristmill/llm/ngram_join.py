@@ -243,9 +243,28 @@ def searched(blocks: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
+def perhaps_in(docs: DataFrame, ids: DataFrame, within: bool) -> DataFrame:
+    """Rows of docs whose doc_id may be in ids (all that are, few others), or the rest. A bit table of one size for any corpus, so it is broadcast."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bits = ids.select(F.floor(slot / 64).alias("_w"), one.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    hit = F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))
+    return docs.withColumn("_w", F.floor(slot / 64)).join(F.broadcast(bits), "_w", "left").filter(hit if within else ~hit).select(*docs.columns)
+
+
+def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that are linked to a document of a lesser doc_id, and with one of rows that repeat doc_id and text. Rows without doc_id stay."""
+    rows = joined(docs, text)[0].select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("gone"))
+    odd = stored(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max("gone").alias("gone"), F.count("*").alias("n")).filter("gone or n > 1").select("doc_id", "gone"), "odd")
+    kept = perhaps_in(docs, odd, False)
+    asked = perhaps_in(docs, odd, True).alias("d").join(odd.alias("o"), F.col("d.doc_id") == F.col("o.doc_id"), "left")
+    single = asked.filter("o.doc_id is null").select("d.*")
+    repeated = asked.filter("o.doc_id is not null and not o.gone").select("d.*").dropDuplicates(["doc_id", text])
+    return kept.unionByName(single).unionByName(repeated)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) -> DataFrame:
     """The pairs a, b of nodes that link, by their shingles. about: doc_id, node, n, point."""
-    spark = docs.sparkSession
     points = about.select("node", "n", "point")
     left, right = (points.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")) for s in "ab")
 
@@ -259,21 +278,8 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) ->
     pairs = stored(pairs.join(left, "a").join(right, "b").filter(in_reach(F.col("na"), F.col("nb"))).mapInArrow(bound, "a long, b long"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(wanted.join(about.select("node", "doc_id"), "node"), "wanted")
-    # most texts aren't wanted: a bit table of fixed size keeps them out of the join below, which is exact
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(F.floor(slot / 64).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            at = batch.column("slot").to_numpy()
-            ok = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("doc_id", "text")], names=["doc_id", "text"])
-
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), slot.cast("long").alias("slot")).filter("doc_id is not null").mapInArrow(sift, "doc_id long, text string")
+    # most texts aren't wanted: few others pass this, and the join below is exact
+    some = perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted, True)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
