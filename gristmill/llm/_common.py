@@ -8,6 +8,7 @@ holds one slice of a batch at a time, so memory is bounded by the slice size
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are turned into numpy arrays at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 # --- shared folder -----------------------------------------------------------
@@ -58,6 +59,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets go of shuffle files of finished jobs now, not when the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # --- Arrow -------------------------------------------------------------------
 
 

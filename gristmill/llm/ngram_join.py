@@ -17,7 +17,8 @@ block is capped: a block is split into chunks, and every pair of chunks meets.
 
 Equal sets are one node from the start. Blocks first give a path through their
 nodes (each with the block's first and with the one before it): linear in the
-block. Once those pairs are verified and components known, trees search only
+block. Of those pairs each node's most frequent is verified, then those that
+still lie between components. Once components are known, trees search only
 blocks that hold several components, and only for pairs between them. So a
 group of near copies costs in proportion to its size, and no link that could
 join two components is left out.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, Words, discard, grams, mixed, slices, stored
+from ._common import SPACED, Words, discard, freed, grams, mixed, slices, stored
 
 SHINGLE, GROUPS = 5, 64
 #: Links: 100 * intersection >= 75 * union. With sizes a and b: intersection >= 3/7 (a + b).
@@ -307,6 +308,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) ->
     links = stored(both.mapInArrow(verify, "a long, b long"), "links")
     for x in (pairs, wanted, found):
         discard(x)
+    freed(docs.sparkSession)
     return links
 
 
@@ -340,8 +342,15 @@ def joined(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     blocks = stored(block_rows(postings), "blocks")
     path = blocks.filter(in_reach(F.col("n"), F.col("first_n"))).select("node", F.col("first").alias("other"))
     path = path.unionByName(blocks.filter(in_reach(F.col("n"), F.col("before_n"))).select("node", F.col("before").alias("other")))
-    pairs = path.filter("node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = verified(pairs, docs, text, about)
+    path = stored(path.filter("node != other").groupBy("node", "other").agg(F.count("*").alias("k")), "path")
+    freed(docs.sparkSession)
+    # first each node with the one it meets most often, then what still lies between components
+    pair = lambda df: df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = verified(pair(path.groupBy("node").agg(F.max_by("other", F.struct("k", "other")).alias("other"))), docs, text, about)
+    sides = components(links)
+    rest = path.join(sides, "node", "left").join(sides.select(F.col("node").alias("other"), F.col("side").alias("side2")), "other", "left")
+    rest = rest.filter(F.coalesce("side", "node") != F.coalesce("side2", "other"))
+    links = stored(links.unionByName(verified(pair(rest), docs, text, about)).distinct(), "links")
     sides = components(links)
 
     members = blocks.select("key", "node", "n").unionByName(blocks.select("key", F.col("first").alias("node"), F.col("first_n").alias("n")).distinct())
