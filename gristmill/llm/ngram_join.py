@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, Words, discard, freed, grams, mixed, slices, stored
+from ._common import SPACED, Words, discard, freed, grams, member, mixed, slices, stored
 
 SHINGLE, GROUPS = 5, 64
 #: Links: 100 * intersection >= 75 * union. With sizes a and b: intersection >= 3/7 (a + b).
@@ -277,36 +277,36 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) ->
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     pairs = stored(pairs.join(left, "a").join(right, "b").filter(in_reach(F.col("na"), F.col("nb"))).mapInArrow(bound, "a long, b long"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(wanted.join(about.select("node", "doc_id"), "node"), "wanted")
+    # every first node is a group: its text comes first, then those of its partners; large groups in parts
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    roles = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("node")).unionByName(dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct())
+    wanted = stored(roles.join(about.select("node", "doc_id"), "node"), "wanted")
     # most texts aren't wanted: few others pass this, and the join below is exact
     some = perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted, True)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, of = None, None
         for batch in batches:
             for part in slices(batch):
                 marks, ends = shingle_sets(part.column("text"))
-                same = names(marks, ends) == part.column("node").to_numpy()  # not if rows of one doc_id have several texts
-                yield pa.RecordBatch.from_pydict({"node": part.column("node").filter(pa.array(same)), "set": [marks[a:b].tobytes() for a, b, ok in zip(ends, ends[1:], same, strict=False) if ok]})
-
-    found = some.join(wanted, "doc_id").select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
-    found = stored(found, "sets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                ok[k] = enough(np.count_nonzero(y[at] == x), len(x) + len(y))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
-
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    links = stored(both.mapInArrow(verify, "a long, b long"), "links")
-    for x in (pairs, wanted, found):
+                name, out = names(marks, ends), []
+                for k, (a, piece, role, node) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "part", "role", "node")), strict=True)):
+                    if name[k] != node:  # a row of that doc_id with another text
+                        continue
+                    own = marks[ends[k] : ends[k + 1]]
+                    if not role:
+                        base, of = own.copy(), (a, piece)
+                    elif of == (a, piece):
+                        x, y = (own, base) if len(own) <= len(base) else (base, own)
+                        if enough(np.count_nonzero(member(x, y)[0]), len(x) + len(y)):
+                            out.append((a, node))
+                if out:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    met = some.join(wanted, "doc_id").select("a", "part", "role", "node", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
+    links = stored(met.mapInArrow(verify, "a long, b long").distinct(), "links")
+    for x in (pairs, wanted):
         discard(x)
     freed(docs.sparkSession)
     return links
@@ -335,11 +335,14 @@ def joined(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
     n_links counts those links: at least enough to connect each component, not all there are.
     """
-    rows = stored(described(docs, text, counters(docs, text)), "described")
+    whole = stored(described(docs, text, counters(docs, text)), "described")
+    rows = stored(whole.drop("early"), "rows")
     about = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
     about = stored(about, "about")
-    postings = rows.filter("node is not null").select("node", "n", F.explode("early").alias("key"))
+    postings = whole.filter("node is not null").select("node", "n", F.explode("early").alias("key"))
     blocks = stored(block_rows(postings), "blocks")
+    discard(whole)
+    freed(docs.sparkSession)
     path = blocks.filter(in_reach(F.col("n"), F.col("first_n"))).select("node", F.col("first").alias("other"))
     path = path.unionByName(blocks.filter(in_reach(F.col("n"), F.col("before_n"))).select("node", F.col("before").alias("other")))
     path = stored(path.filter("node != other").groupBy("node", "other").agg(F.count("*").alias("k")), "path")
