@@ -1,6 +1,6 @@
 """Jaccard join on word shingles with count-vector R-trees.
 
-Shingles of a document are hashed into 64 groups; the counts of its groups are
+Shingles of a document are hashed into 256 groups; the counts of its groups are
 a point. The overlap of two documents can't exceed the sum of the lesser
 counts, group by group, nor that of two boxes of points the sum over their upper
 corners. An R-tree of points with dual-tree descent thus finds every pair whose
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ._common import SPACED, Words, discard, freed, grams, member, mixed, slices, stored
 
-SHINGLE, GROUPS = 5, 64
+SHINGLE, GROUPS = 5, 256
 #: Links: 100 * intersection >= 75 * union. With sizes a and b: intersection >= 3/7 (a + b).
 PERCENT = 75
 #: Counters of the order of shingles, and of the filter of documents to verify. Fixed sizes.
@@ -115,8 +115,8 @@ def described(docs: DataFrame, text: str, order: np.ndarray) -> DataFrame:
                 marks, ends = shingle_sets(part.column(text))
                 n = np.diff(ends)
                 row = np.repeat(np.arange(len(n)), n)
-                points = np.bincount(row * GROUPS + (marks >> np.uint64(58)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
-                points = np.minimum(points, 65535).astype("<u2")
+                points = np.bincount(row * GROUPS + (marks >> np.uint64(56)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+                points = np.minimum(points, 255).astype(np.uint8)
                 rank = table[(marks & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                 by = np.lexsort((marks, rank, row))
                 marks = marks[by]
@@ -161,6 +161,13 @@ def block_rows(postings: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
 
 
+def points_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Points from bytes. A count of 255 stands for that or more, so it bounds as no limit."""
+    out = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    out[out == 255] = 1 << 20
+    return out
+
+
 def in_reach(a: Column, b: Column) -> Column:
     return (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
 
@@ -196,9 +203,9 @@ def tree_pairs(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
             keep &= i <= j if d else i < j
         i, j = i[keep], j[keep]
         ok = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            ok[at : at + (1 << 15)] = enough(np.minimum(ua[x], ub[y]).sum(1), la[x] + lb[y])
+        for at in range(0, len(i), 1 << 13):
+            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            ok[at : at + (1 << 13)] = enough(np.minimum(ua[x], ub[y]).sum(1), la[x] + lb[y])
         i, j = i[ok], j[ok]
         if d:
             i, j = _crossed(*(_children(x, len(t.levels) > d, len(level(t, d - 1)[1])) for x, t in ((i, a), (j, b))))
@@ -232,7 +239,7 @@ def searched(blocks: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         node, n, side, left = (table.column(c).to_numpy() for c in ("node", "n", "side", "left"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
+        points = points_of(table.column("point"))
         same = key[1].as_py() == key[2].as_py()
         pick = [np.flatnonzero(left), np.flatnonzero(left if same else ~left.astype(bool))]
         trees = [Tree(points[p], n[p], side[p]) for p in pick]
@@ -272,8 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) ->
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32) for c in ("pa", "pb"))
-                ok = enough(np.minimum(pa_, pb).sum(1), batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+                ok = enough(np.minimum(points_of(batch.column("pa")), points_of(batch.column("pb"))).sum(1), batch.column("na").to_numpy() + batch.column("nb").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     pairs = stored(pairs.join(left, "a").join(right, "b").filter(in_reach(F.col("na"), F.col("nb"))).mapInArrow(bound, "a long, b long"), "pairs")

@@ -117,7 +117,7 @@ def test_tree_finds_all_pairs(seed):
 
 def test_chunks_of_blocks_meet(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 7)
-    point = np.ones(ngram_join.GROUPS, "<u2").tobytes()
+    point = np.ones(ngram_join.GROUPS, np.uint8).tobytes()
     blocks = spark.createDataFrame([(1, k, ngram_join.GROUPS, k % 5, point) for k in range(50)], "key long, node long, n long, side long, point binary")
     assert {(r["a"], r["b"]) for r in ngram_join.searched(blocks).collect()} == {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 5 != b % 5}
 
