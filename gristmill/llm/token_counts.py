@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, texts
+from ._common import slices, stored, texts
 from .tokens import encoder
 
 #: Lengths in one block of the suffix sums: each block is summed in a task of its own.
@@ -45,8 +45,10 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     n_docs (of that length), docs_over (longer), tokens_up_to (in documents of at most L),
     total_tokens (of all), truncated_total (left when every document is cut to L),
     quantile (share of documents of at most L). A limit between two lengths has the
-    lower one's docs_over and tokens_up_to; at_limit() does that sum."""
-    one = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    lower one's docs_over and tokens_up_to; at_limit() does that sum.
+
+    The histogram is written first: it is read twice, and texts should be encoded once."""
+    one = stored(histogram, "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = one.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     every = Window.orderBy("block")
     blocks = blocks.select("block", *[(F.sum(c).over(every) - F.col(c)).alias(f"{c}0") for c in "dt"], *[F.sum(c).over(Window.partitionBy()).alias(f"{c}1") for c in "dt"])
