@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, stored, texts
-from .tokens import END, encoder, ids_of
+from ._common import slices, stored
+from .tokens import AT_ONCE, END, encoder, ids_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
@@ -79,9 +79,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int | None = END
         coder, pid, met = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tail = b"" if end is None else int(end).to_bytes(4, "little")
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 rows = []
-                for doc_id, data in zip(part.column("doc_id").to_pylist(), coder.encode(texts(part.column("text"))), strict=True):
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text")), strict=True):
                     data += tail
                     n = len(ids_of(data))
                     bounds = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]

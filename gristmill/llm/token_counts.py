@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, stored, texts
-from .tokens import encoder
+from ._common import slices, stored
+from .tokens import AT_ONCE, encoder
 
 #: Lengths in one block of the suffix sums: each block is summed in a task of its own.
 BLOCK = 1 << 14
@@ -31,8 +31,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", extra:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch, text):
-                for ids in encoder(tokenizer).encode(texts(part.column(text))):
+            for part in slices(batch, text, AT_ONCE):
+                for ids in encoder(tokenizer).encode(part.column(text)):
                     n = len(ids) // 4 + extra
                     found[n] = found.get(n, 0) + 1
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(found.keys(), pa.int64()), "n_docs": pa.array(found.values(), pa.int64())})

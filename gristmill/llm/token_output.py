@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch_path, slices, texts
-from .tokens import END, encoder
+from ._common import scratch_path, slices
+from .tokens import AT_ONCE, END, encoder
 
 BLOCK_IDS = 1 << 18
 FILE_SCHEMA = "part int, block int, width int, payload binary, doc_ids array<bigint>, ends array<bigint>"
@@ -79,8 +79,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
             return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
         for batch in batches:
-            for some in slices(batch):
-                for doc_id, x in zip(some.column("doc_id").to_pylist(), coder.encode(texts(some.column("text"))), strict=True):
+            for some in slices(batch, most=AT_ONCE):
+                for doc_id, x in zip(some.column("doc_id").to_pylist(), coder.encode(some.column("text")), strict=True):
                     held.append(x + tail)
                     ids.append(doc_id)
                     size += len(x) // 4 + 1
