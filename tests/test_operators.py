@@ -100,6 +100,28 @@ def test_components(spark):
     assert {x["node"]: x["component"] for x in got} == label
 
 
+def test_components_of_all_orders(spark, tmp_path):
+    r = random.Random(6)
+    orders = [(k, r.randrange(900), f"2020-{r.randrange(12) + 1:02d}-{r.randrange(28) + 1:02d}") for k in range(1, 300)] + [(k, 10_000 + k, f"{k}-01-01") for k in range(1001, 1010)]
+    frame = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, day string").select("o_orderkey", "o_custkey", F.col("day").cast("timestamp").alias("o_orderdate"))
+    frame.write.parquet(str(tmp_path / "orders.parquet"))
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for k, c, d in orders:
+        up[root(k)] = root(("c", c))
+        up[root(k)] = root(("d", d))
+    least = {}
+    for k, _, _ in orders:
+        least[root(k)] = min(k, least.get(root(k), k))
+    got = {x["node"]: x["component"] for x in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == {k: least[root(k)] for k, _, _ in orders}
+
+
 def test_take_and_apportion(spark):
     groups = [(f"g{k}", k % 5 + 1) for k in range(300)]
     out = selection.take_to_target(spark.createDataFrame(groups, "group string, size long"), F.lit(200), 1, "s").collect()
