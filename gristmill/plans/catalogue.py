@@ -345,7 +345,7 @@ def gold_selection(spark, sf):
 @query(REC + ", c AS (SELECT id FROM rec WHERE quality = 0), b AS (SELECT id, 'candidate_' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 4, '0') AS blind FROM c) SELECT blind, a.annotator, row_number() OVER (PARTITION BY a.annotator ORDER BY sha256('3401:' || a.annotator || ':' || blind)) AS place FROM b, (SELECT unnest(['A', 'B']) AS annotator) a")
 def blinded_packets(spark, sf):
     low = records(spark, sf).filter("quality = 0").select("id")
-    blind = low.select("id", F.concat(F.lit("candidate_"), F.lpad(F.row_number().over(Window.orderBy("id")).cast("string"), 4, "0")).alias("blind"))
+    blind = low.select("id", F.format_string("candidate_%04d", F.row_number().over(Window.orderBy("id"))).alias("blind"))
     both = blind.select("blind", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("annotator"))
     return both.select("blind", "annotator", F.row_number().over(Window.partitionBy("annotator").orderBy(F.sha2(F.concat_ws(":", F.lit("3401"), "annotator", "blind"), 256))).cast("long").alias("place"))
 

@@ -122,6 +122,15 @@ def test_components_of_all_orders(spark, tmp_path):
     assert got == {k: least[root(k)] for k, _, _ in orders}
 
 
+def test_blind_ids_beyond_four_digits(spark, tmp_path):
+    n = 10_012
+    spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.lit(9).cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("quality"), F.lit(0).cast("long").alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    got = catalogue.QUERIES["blinded_packets"](spark, str(tmp_path)).collect()
+    want = {f"candidate_{k:04d}" for k in range(1, n + 1)}
+    assert len(got) == 2 * n and all({x["blind"] for x in got if x["annotator"] == a} == want for a in "AB")
+
+
 def test_take_and_apportion(spark):
     groups = [(f"g{k}", k % 5 + 1) for k in range(300)]
     out = selection.take_to_target(spark.createDataFrame(groups, "group string, size long"), F.lit(200), 1, "s").collect()
