@@ -528,14 +528,17 @@ def cross_product_complete(spark, sf):
 @query("SELECT doc_id, item_id FROM (SELECT d.doc_id, b.item_id, (length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) AS k FROM documents d JOIN benchmark b ON contains(d.text, b.text)) WHERE k = 1")
 def payload_once(spark, sf):
     d, b = t(spark, sf, "documents"), t(spark, sf, "benchmark").select("item_id", F.col("text").alias("payload"))
-    # the first eight words of a payload are looked up in the text's runs of eight: an equi-join, whatever the number of payloads
-    parts = F.split("payload", " ")
+    # words 2 to 4 of a payload of five words or more are whole words of the text: looked up in its runs of three, an equi-join whatever the number of payloads
+    flat = F.split(F.regexp_replace("payload", "\n", " "), " ")
+    long, short = b.filter(F.size(flat) >= 5), b.filter((F.size(flat) < 5) & (F.col("payload") != ""))
     words = d.select("doc_id", "text", F.split(F.regexp_replace("text", "\n", " "), " ").alias("w"))
     key = lambda w, i: F.array_join(F.slice(w, i, 3), " ")
     runs = words.filter(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(key(F.col("w"), i))))).alias("h"))
-    inner = b.select("item_id", "payload", F.xxhash64(F.array_join(F.slice(F.split(F.regexp_replace("payload", "\n", " "), " "), 2, 3), " ")).alias("h"), F.size(parts).alias("k"))
+    inner = long.select("item_id", "payload", F.xxhash64(key(flat, 2)).alias("h"))
     near = runs.join(inner, "h").select("doc_id", "item_id", "payload").distinct().join(d.select("doc_id", "text"), "doc_id")
-    return near.filter(F.contains("text", F.col("payload")) & (F.length("text") - F.length(F.replace("text", F.col("payload"), F.lit(""))) == F.length("payload"))).select("doc_id", "item_id")
+    # shorter ones may begin and end inside words: each is held against every text
+    every = d.select("doc_id", "text").join(short, F.contains("text", F.col("payload"))).select("doc_id", "item_id", "payload", "text")
+    return near.select(*every.columns).unionByName(every).filter(F.contains("text", F.col("payload")) & (F.length("text") - F.length(F.replace("text", F.col("payload"), F.lit(""))) == F.length("payload"))).select("doc_id", "item_id")
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

@@ -131,6 +131,15 @@ def test_blind_ids_beyond_four_digits(spark, tmp_path):
     assert len(got) == 2 * n and all({x["blind"] for x in got if x["annotator"] == a} == want for a in "AB")
 
 
+def test_short_payloads_once(spark, tmp_path):
+    texts = ["alpha beta", "the alpha beta gamma deltas end", "alpha, alpha", "xalphay", "a b c d e f", "a\nb c d, e", "", None, "one two three four five six", "one two three four fives", "aaa"]
+    items = ["alpha", "alpha beta", "beta gamma delta", "alpha beta gamma delta", "a b c d", "a\nb", "one two three four five", "aa", "", " ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((x["doc_id"], x["item_id"]) for x in catalogue.QUERIES["payload_once"](spark, str(tmp_path)).collect())
+    assert got == [(i, j) for i, x in enumerate(texts) for j, y in enumerate(items) if x and y and x.count(y) == 1]
+
+
 def test_take_and_apportion(spark):
     groups = [(f"g{k}", k % 5 + 1) for k in range(300)]
     out = selection.take_to_target(spark.createDataFrame(groups, "group string, size long"), F.lit(200), 1, "s").collect()
