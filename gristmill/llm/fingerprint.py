@@ -1,6 +1,9 @@
 """Document fingerprints from improbable features.
 
-Byte windows start at every word. The entropy of a window (of its 64 bytes'
+Byte windows start at every word, at the start of a text and so that one ends
+with it; where the next start is more than a window away (long words, texts
+without spaces, runs of white space) at every byte between. So every byte of a
+text that holds a window is in one. The entropy of a window (of its 64 bytes'
 32 classes) is rare or common by how often its level occurs over the whole
 corpus; of every few neighbouring windows the one of the rarest level is a
 feature (its hash decides ties). Features go in text order into Bloom filters
@@ -45,8 +48,15 @@ class Windows:
         data, n = words.data, len(words.data)
         ends = np.repeat(words.off[1:], words.count)
         whole = words.start + WINDOW <= ends
-        start = words.start[whole]
-        self.count = np.bincount(words.row()[whole], minlength=len(words.count))
+        roomy = np.flatnonzero(np.diff(words.off) >= WINDOW)
+        start = np.concatenate([words.start[whole], words.off[roomy], words.off[roomy + 1] - WINDOW])
+        start, at = np.unique(start, return_index=True)
+        row = np.concatenate([words.row()[whole], roomy, roomy])[at]
+        gap = np.ones(len(start), np.int64)  # starts from each one on: one, or all bytes to the next of its row
+        gap[:-1][row[1:] == row[:-1]] = np.diff(start)[row[1:] == row[:-1]]
+        gap[gap <= WINDOW] = 1
+        start = np.repeat(start, gap) + np.arange(gap.sum()) - np.repeat(np.cumsum(gap) - gap, gap)
+        self.start, self.count = start, np.bincount(np.repeat(row, gap), minlength=len(words.count))
         # counts of 32 classes of bytes, eight to a 64-bit sum: differences of sums are counts in a window
         kind = LOWER[data] & 31
         total = np.zeros(len(start), np.float32)

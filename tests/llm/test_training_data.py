@@ -142,6 +142,25 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprint.compared_with_next(empty(spark), ranks).count() == 0
 
 
+def test_windows_cover_every_byte():
+    r = random.Random(8)
+    blob = lambda n: base64.b64encode(r.randbytes(n)).decode()
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    given = [blob(900), han(500), " " * 40 + "word " * 9 + " " * 90 + blob(60) + " end", "a" * 31, "a" * 32, "a" * 33, "word " * 20 + "tail", "", None, *rand_texts(2, 5)]
+    w, off = fingerprint.Windows(pa.array(given, pa.string())), 0
+    firsts = np.concatenate([[0], np.cumsum(w.count)])
+    for k, text in enumerate(given):
+        size = len((text or "").encode())
+        starts = w.start[firsts[k] : firsts[k + 1]] - off
+        assert size < 32 and not len(starts) or {i + j for i in starts.tolist() for j in range(32)} == set(range(size))
+        off += size
+    ranks = np.arange(fingerprint.LEVELS)
+    for make in (blob, han):
+        a, b = make(900), make(900)
+        one, two, near, moved = fingerprint.chains(pa.array([a, a[:40] + b[40:], a[: len(a) - len(a) // 3] + b[: len(a) // 3], "x" + a]), ranks)
+        assert fingerprint.likeness(one, two) < 0.2 < fingerprint.likeness(one, near) < 0.95 and fingerprint.likeness(one, moved) > 0.9
+
+
 def test_token_counts(spark, docs, rows, coder):
     lengths = [len(coder.whole(x[1] or "")) // 4 for x in rows]
     limits = token_counts.context_limits(token_counts.length_histogram(docs, default_path()))
