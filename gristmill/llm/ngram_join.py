@@ -15,13 +15,10 @@ holds the documents with a shingle that early. The order is rarest first by a
 count of fixed size over all documents, so what many share comes last. No
 block is capped: a block is split into chunks, and every pair of chunks meets.
 
-Equal sets are one node from the start. Blocks first give a path through their
-nodes (each with the block's first and with the one before it): linear in the
-block. Of those pairs each node's most frequent is verified, then those that
-still lie between components. Once components are known, trees search only
-blocks that hold several components, and only for pairs between them. So a
-group of near copies costs in proportion to its size, and no link that could
-join two components is left out.
+Equal sets are one node from the start. Trees search every block of two nodes
+or more, within groups of near copies too, and every pair that survives is
+verified: all links between different sets are found. A group of near copies
+therefore costs with the square of its different texts, as its links do.
 
 A text without words has no shingles and links with nothing; one of fewer than
 five words has its whole sequence as its only shingle. Null texts have no words.
@@ -36,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SPACED, Words, discard, freed, grams, member, mixed, slices, stored
@@ -168,10 +165,6 @@ def points_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def in_reach(a: Column, b: Column) -> Column:
-    return (100 * a >= PERCENT * b) & (100 * b >= PERCENT * a)
-
-
 def enough(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether an overlap reaches the threshold; sizes: of both sets together."""
     return 100 * overlap >= PERCENT * (sizes - overlap)
@@ -226,7 +219,7 @@ def _crossed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def searched(blocks: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes of one block and different sides (components) whose bound reaches the threshold.
+    """a, b: pairs of nodes of one block and different sides whose bound reaches the threshold, each with one group (key, x, y) that found it.
 
     blocks: key, node, n, side, point. Large blocks are dealt in chunks: each pair of chunks is a group of its own.
     """
@@ -246,9 +239,11 @@ def searched(blocks: DataFrame) -> DataFrame:
         i, j = tree_pairs(*trees, same)
         a, b = node[pick[0][i]], node[pick[1][j]]
         if len(a):
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            own = {c: pa.array(np.full(len(a), k.as_py()), t) for c, k, t in zip(("key", "x", "y"), key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), **own})
 
-    return dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    found = dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long, key long, x int, y int")
+    return found.groupBy("a", "b").agg(F.min(F.struct("key", "x", "y")).alias("_")).select("a", "b", "_.*")
 
 
 def perhaps_in(docs: DataFrame, ids: DataFrame, within: bool) -> DataFrame:
@@ -272,46 +267,29 @@ def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) -> DataFrame:
-    """The pairs a, b of nodes that link, by their shingles. about: doc_id, node, n, point."""
-    points = about.select("node", "n", "point")
-    left, right = (points.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")) for s in "ab")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ok = enough(np.minimum(points_of(batch.column("pa")), points_of(batch.column("pb"))).sum(1), batch.column("na").to_numpy() + batch.column("nb").to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
-
-    pairs = stored(pairs.join(left, "a").join(right, "b").filter(in_reach(F.col("na"), F.col("nb"))).mapInArrow(bound, "a long, b long"), "pairs")
-    # every first node is a group: its text comes first, then those of its partners; large groups in parts
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    roles = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("node")).unionByName(dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct())
-    wanted = stored(roles.join(about.select("node", "doc_id"), "node"), "wanted")
+    """The pairs a, b of nodes that link, by their shingles. pairs: of searched; about: node, doc_id. A text goes once to each group that holds pairs of it."""
+    pairs = stored(pairs, "pairs")
+    block = ["key", "x", "y"]
+    nodes = pairs.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(nodes.join(about.select("node", "doc_id"), "node"), "wanted")
     # most texts aren't wanted: few others pass this, and the join below is exact
     some = perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted, True)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, of = None, None
-        for batch in batches:
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets, ok = {}, []
+        for batch in right.to_batches():
             for part in slices(batch):
                 marks, ends = shingle_sets(part.column("text"))
-                name, out = names(marks, ends), []
-                for k, (a, piece, role, node) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "part", "role", "node")), strict=True)):
-                    if name[k] != node:  # a row of that doc_id with another text
-                        continue
-                    own = marks[ends[k] : ends[k + 1]]
-                    if not role:
-                        base, of = own.copy(), (a, piece)
-                    elif of == (a, piece):
-                        x, y = (own, base) if len(own) <= len(base) else (base, own)
-                        if enough(np.count_nonzero(member(x, y)[0]), len(x) + len(y)):
-                            out.append((a, node))
-                if out:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-    met = some.join(wanted, "doc_id").select("a", "part", "role", "node", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
-    links = stored(met.mapInArrow(verify, "a long, b long").distinct(), "links")
+                for k, (node, name) in enumerate(zip(part.column("node").to_pylist(), names(marks, ends).tolist(), strict=True)):
+                    if name == node:  # else a row of that doc_id with another text
+                        sets[node] = marks[ends[k] : ends[k + 1]].copy()
+        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            x, y = sorted((sets[x], sets[y]), key=len)
+            ok.append(bool(enough(np.count_nonzero(member(x, y)[0]), len(x) + len(y))))
+        return left.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    met = some.join(wanted, "doc_id").select(*block, "node", "text")
+    links = stored(pairs.groupBy(*block).cogroup(met.groupBy(*block)).applyInArrow(verify, "a long, b long"), "links")
     for x in (pairs, wanted):
         discard(x)
     freed(docs.sparkSession)
@@ -337,44 +315,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, links of each row of docs; the links between nodes that were needed to join them).
+    """(doc_id, n_shingles, component_id, n_links of each row of docs; a, b: all links between nodes).
 
-    n_links counts those links: at least enough to connect each component, not all there are.
+    n_links counts the other rows that a row links with, copies included. A set that only rows without doc_id have links with nothing.
     """
     whole = stored(described(docs, text, counters(docs, text)), "described")
     rows = stored(whole.drop("early"), "rows")
-    about = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
-    about = stored(about, "about")
+    about = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies"))
+    about = stored(about.filter("doc_id is not null"), "about")
     postings = whole.filter("node is not null").select("node", "n", F.explode("early").alias("key"))
     blocks = stored(block_rows(postings), "blocks")
     discard(whole)
     freed(docs.sparkSession)
-    path = blocks.filter(in_reach(F.col("n"), F.col("first_n"))).select("node", F.col("first").alias("other"))
-    path = path.unionByName(blocks.filter(in_reach(F.col("n"), F.col("before_n"))).select("node", F.col("before").alias("other")))
-    path = stored(path.filter("node != other").groupBy("node", "other").agg(F.count("*").alias("k")), "path")
-    freed(docs.sparkSession)
-    # first each node with the one it meets most often, then what still lies between components
-    pair = lambda df: df.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = verified(pair(path.groupBy("node").agg(F.max_by("other", F.struct("k", "other")).alias("other"))), docs, text, about)
+    members = blocks.select("key", "node", "n").unionByName(blocks.select("key", F.col("first").alias("node"), F.col("first_n").alias("n"))).dropDuplicates(["key", "node"])
+    members = members.withColumn("side", F.col("node")).join(about.select("node", "point"), "node")
+    links = verified(searched(members), docs, text, about)
     sides = components(links)
-    rest = path.join(sides, "node", "left").join(sides.select(F.col("node").alias("other"), F.col("side").alias("side2")), "other", "left")
-    rest = rest.filter(F.coalesce("side", "node") != F.coalesce("side2", "other"))
-    links = stored(links.unionByName(verified(pair(rest), docs, text, about)).distinct(), "links")
-    sides = components(links)
-
-    members = blocks.select("key", "node", "n").unionByName(blocks.select("key", F.col("first").alias("node"), F.col("first_n").alias("n")).distinct())
-    # the paths of blocks of three nodes hold all their pairs
-    large = members.groupBy("key").agg(F.count_distinct("node").alias("k")).filter("k > 3").select("key")
-    members = members.join(large, "key", "left_semi").join(sides, "node", "left").select("key", "node", "n", F.coalesce("side", "node").alias("side"))
-    mixed_ = members.groupBy("key").agg(F.min("side").alias("x"), F.max("side").alias("y"), F.min("n").alias("low"), F.max("n").alias("high")).filter("x != y").select("key")
-    members = members.join(mixed_, "key", "left_semi").dropDuplicates(["key", "node"]).join(about.select("node", "point"), "node")
-    more = verified(searched(members), docs, text, about)
-    if not more.isEmpty():
-        links = stored(links.unionByName(more).distinct(), "links")
-        sides = components(links)
-    names_ = about.select("node", "doc_id").join(sides, "node", "left").select("node", "doc_id", F.coalesce("side", "node").alias("side"))
+    names_ = about.select("node", "doc_id", "copies").join(sides, "node", "left").select("node", "doc_id", "copies", F.coalesce("side", "node").alias("side"))
     least = names_.groupBy("side").agg(F.min("doc_id").alias("component_id"))
-    n_links = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = names_.join(least, "side").join(n_links, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("node")), F.struct(F.col("b").alias("of"), F.col("a").alias("node")))).alias("e")).select("e.*")
+    others = ends.join(about.select("node", "copies"), "node").groupBy(F.col("of").alias("node")).agg(F.sum("copies").alias("others"))
+    named = names_.join(least, "side").join(others, "node", "left").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out, links

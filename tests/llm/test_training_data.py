@@ -101,6 +101,25 @@ def test_ngram_join(spark, docs, rows):
     assert kept.filter("doc_id is not null").count() == len(want)
 
 
+def test_all_links_are_counted(spark):
+    r = random.Random(11)
+    base = [[f"v{r.randrange(900)}" for _ in range(120)] for _ in range(3)]
+    given = []
+    for k in range(36):
+        w = list(base[k % 3])
+        for _ in range(r.randrange(4)):
+            w[r.randrange(120)] = f"u{k}"
+        given.append((k, " ".join(w), 120, 0.5))
+    given += [(40, given[1][1], 120, 0.5), (41, "few words", 2, 0.5), (42, None, 0, 0.5)]
+    sets = [shingles(x[1]) for x in given]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = [sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    out, links = ngram_join.joined(spark.createDataFrame(given, DOCS).repartition(3))
+    assert {x["doc_id"]: x["n_links"] for x in out.collect()} == {x[0]: n for x, n in zip(given, want, strict=True)} and max(want) > 9
+    kinds = list(set(sets))
+    assert links.distinct().count() == links.count() == sum(linked(a, b) for i, a in enumerate(kinds) for b in kinds[:i])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_tree_finds_all_pairs(seed):
     r = np.random.default_rng(seed)
