@@ -59,6 +59,27 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: workers live on between tasks and stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names, alike to those given, that df doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def freed(spark: SparkSession) -> None:
     """Lets go of shuffle files of finished jobs now, not when the driver's JVM happens to collect its garbage."""
     gc.collect()
@@ -76,6 +97,7 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str =
             for part in slices(batch, text, most):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
+        settled()
 
     return run
 
@@ -140,6 +162,17 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+_place = np.zeros(0, np.uint64)
+
+
+def place_keys(n: int) -> np.ndarray:
+    """A random odd 64-bit factor for each place in a word. Unlike powers of one base they collide on no patterned words."""
+    global _place
+    if len(_place) < n:
+        _place = mixed(np.arange(1, (1 << max(10, (n - 1).bit_length())) + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    return _place
+
+
 class Words:
     """Words of a column of texts: byte ranges and 64-bit hashes, with the range of words of each row."""
 
@@ -153,10 +186,12 @@ class Words:
             after[self.off[1:][self.off[1:] > 0] - 1] = False
         self.start = np.flatnonzero(is_word & ~before)
         self.end = np.flatnonzero(is_word & ~after) + 1
-        powers, inverse = _power(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((LOWER[self.data].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = self.end - self.start
+        ends = np.cumsum(size)
+        letters_, place = np.flatnonzero(is_word), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        sums = np.zeros(len(letters_) + 1, np.uint64)
+        np.cumsum((LOWER[self.data[letters_]].astype(np.uint64) + np.uint64(1)) * place_keys(int(size.max()) if len(size) else 1)[place], out=sums[1:])
+        self.hash = mixed(sums[ends] - sums[ends - size] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.first = np.searchsorted(self.start, self.off)  # words of row i: first[i] to first[i + 1]
         self.count = np.diff(self.first)
 

@@ -4,26 +4,34 @@ Shingles of a document are hashed into 256 groups; the counts of its groups are
 a point. The overlap of two documents can't exceed the sum of the lesser
 counts, group by group, nor that of two boxes of points the sum over their upper
 corners. An R-tree of points with dual-tree descent thus finds every pair whose
-bound reaches what the threshold asks for, and the pairs that survive are
-verified on their shingles.
+bound reaches what the threshold asks for, and what survives is verified on
+shingles.
 
 Points of unlike documents of one size lie about as near as the threshold
 reaches, so one tree over a corpus would visit most pairs of leaves. Trees are
 therefore built in blocks. Documents that link share a shingle among the first
 quarter (and one) of each other's, in any fixed order of shingles; a block
 holds the documents with a shingle that early. The order is rarest first by a
-count of fixed size over all documents, so what many share comes last. No
-block is capped: a block is split into chunks, and every pair of chunks meets.
-
-Equal sets are one node from the start. Trees search every block of two nodes
-or more, within groups of near copies too, and every pair that survives is
-verified: all links between different sets are found. A group of near copies
-therefore costs with the square of its different texts, as its links do.
-
-A text without words has no shingles and links with nothing; one of fewer than
-five words has its whole sequence as its only shingle. Null texts have no words.
-Rows of equal sets share a component whatever their doc_id; rows of one doc_id
-stay rows. An empty table gives no rows. Sets are told apart by 64-bit hashes.
+count of fixed size over all documents, so what many share comes last. Blocks
+with the same documents are one block. No block is capped: a large one is dealt
+in pieces, and every two pieces meet in a task of their own.
+
+The pairs that the trees of a block leave over are reported as the groups that
+they connect, so a block of k documents sends fewer than k rows however many
+pairs it has. Groups of all blocks merge into candidate groups, and each of
+these is verified: exact intersections of all its pairs, each pair in one
+task (groups are dealt in chunks, and two chunks meet in one task). Links leave
+such a task as counts by document and, again, as what they connect. Hence work
+in a group of near copies grows with the square of its different texts, as its
+links do, but no table ever has a row for each pair.
+
+Equal sets are one node from the start. A text without words has no shingles
+and links with nothing; one of fewer than five words has its whole sequence as
+its only shingle. Null texts have no words. Rows of equal sets share a
+component whatever their doc_id; rows of one doc_id stay rows; rows without
+doc_id have the component of their set (null if only such rows have it). An
+empty table gives no rows. Sets are told apart by 64-bit hashes. Columns other
+than doc_id and the text are not read.
 """
 
 from __future__ import annotations
@@ -36,15 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, Words, discard, freed, grams, member, mixed, slices, stored
+from ._common import SPACED, Words, discard, freed, grams, mixed, settled, slices, stored, unused
 
 SHINGLE, GROUPS = 5, 256
 #: Links: 100 * intersection >= 75 * union. With sizes a and b: intersection >= 3/7 (a + b).
 PERCENT = 75
 #: Counters of the order of shingles, and of the filter of documents to verify. Fixed sizes.
-COUNTERS, FILTER_BITS = 1 << 20, 1 << 23
-#: Nodes of a block that meet in one task.
-CHUNK = 2048
+COUNTERS, FILTER_BITS = 1 << 21, 1 << 23
+#: Members of a piece of a block. Members and shingles of a chunk of a candidate group. Rows and shingles that one call of Python works on.
+PIECE, CHUNK, CHUNK_SHINGLES = 1024, 512, 1 << 19
+BIN_ROWS, BIN_SHINGLES = 1 << 13, 1 << 20
+#: Postings of a class of shingles that go to one task.
+HOT = 1 << 20
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,94 +86,151 @@ def names(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed(sums[ends[1:]] - sums[ends[:-1]] + np.diff(ends).astype(np.uint64)).view(np.int64)
 
 
+def unseen(name: np.ndarray, seen: set) -> np.ndarray:
+    """Mask of the names that this task meets for the first time: copies count once."""
+    out = np.zeros(len(name), bool)
+    for k, x in enumerate(name.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[k] = True
+    return out
+
+
 def counters(docs: DataFrame, text: str) -> np.ndarray:
-    """How often shingles of each of COUNTERS classes occur (up to 65,535): the table has one size for any corpus."""
+    """How often shingles of each of COUNTERS classes occur: the table has one size for any corpus."""
     piece = COUNTERS // 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int64)
+        n, held, size, seen = np.zeros(COUNTERS, np.int64), [], 0, set()
         for batch in batches:
             for part in slices(batch, text):
-                n += np.bincount(shingle_sets(part.column(text))[0] & np.uint64(COUNTERS - 1), minlength=COUNTERS)
-        n = np.minimum(n, 65535).astype("<u2")
+                marks, ends = shingle_sets(part.column(text))
+                keep = np.repeat(unseen(names(marks, ends), seen) if len(ends) > 1 else [], np.diff(ends))
+                held.append((marks[keep.astype(bool)] & np.uint64(COUNTERS - 1)).astype(np.int32))
+                size += len(held[-1])
+                if size > COUNTERS:
+                    n += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        n = np.minimum(n, (1 << 32) - 1).astype("<u4")
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(16), pa.int32()), "n": [zlib.compress(n[k * piece : (k + 1) * piece].tobytes(), 1) for k in range(16)]})
+        settled()
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(piece, np.int64)
         for batch in batches:
             for x in batch.column("n").to_pylist():
-                n += np.frombuffer(zlib.decompress(x), "<u2")
-        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int32()), "n": [np.minimum(n, 65535).astype("<u2").tobytes()]})
+                n += np.frombuffer(zlib.decompress(x), "<u4")
+        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int32()), "n": [zlib.compress(np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes(), 1)]})
 
     rows = docs.select(text).mapInArrow(count, "k int, n binary").groupBy("k").applyInArrow(add, "k int, n binary").collect()
-    out = np.zeros(COUNTERS, np.uint16)
+    out = np.zeros(COUNTERS, np.uint32)
     for r in rows:
-        out[r["k"] * piece : (r["k"] + 1) * piece] = np.frombuffer(r["n"], "<u2")
+        out[r["k"] * piece : (r["k"] + 1) * piece] = np.frombuffer(zlib.decompress(r["n"]), "<u4")
     return out
 
 
 def described(docs: DataFrame, text: str, order: np.ndarray) -> DataFrame:
-    """doc_id, n, node (hash of the set; null without shingles), point (counts of the groups), early (shingles by which it can be found)."""
+    """doc_id, n, node (hash of the set; null without shingles) of each row; of each node in each task once: point (counts
+    of the groups), early (shingles by which it can be found), salt (where some of these are hot: the part of their block that it goes to)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
+    hot = max(HOT, 8 * int(order.sum(dtype=np.int64)) // COUNTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, seen = shared.value, set()
         for batch in batches:
             for part in slices(batch, text):
                 marks, ends = shingle_sets(part.column(text))
                 n = np.diff(ends)
+                name = names(marks, ends)
+                some = np.flatnonzero(unseen(name, seen) & (n > 0))
+                own = np.zeros(len(n), bool)
+                own[some] = True
                 row = np.repeat(np.arange(len(n)), n)
-                points = np.bincount(row * GROUPS + (marks >> np.uint64(56)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+                marks, row = marks[own[row]], np.repeat(np.arange(len(some)), n[some])
+                points = np.bincount(row * GROUPS + (marks >> np.uint64(56)).astype(np.int64), minlength=len(some) * GROUPS).reshape(-1, GROUPS)
                 points = np.minimum(points, 255).astype(np.uint8)
-                rank = table[(marks & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-                by = np.lexsort((marks, rank, row))
-                marks = marks[by]
-                early = n - (PERCENT * n + 99) // 100 + 1
-                early[n == 0] = 0
-                keep = np.arange(len(marks)) - ends[row] < early[row]
-                name = names(np.sort(marks), np.array([0, 0])) if not len(n) else names(marks, ends)
+                at = (marks & np.uint64(COUNTERS - 1)).astype(np.int64)
+                often = table[at].astype(np.uint64)
+                by = np.lexsort((marks, often, row))
+                size = n[some]
+                early = size - (PERCENT * size + 99) // 100 + 1
+                keep = np.arange(len(marks)) - (np.cumsum(size) - size)[row] < early[row]
+                marks, often, row = marks[by][keep], often[by][keep].astype(np.int64), row[keep]
+                first = np.concatenate([[0], np.cumsum(early)])
+                parts = np.where(often > hot, often // HOT, 0)
+                salt = np.where(parts > 0, 1 + (mixed(name[some].view(np.uint64)) >> np.uint64(33)).astype(np.int64)[row] % np.maximum(parts, 1), 0)
+                made = dict(zip(some.tolist(), range(len(some)), strict=True))
+                k = [made.get(i) for i in range(len(n))]
+                lists = marks.view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n": n, "node": pa.array(name, pa.int64(), mask=n == 0),
-                    "point": [None if not k else p.tobytes() for k, p in zip(n, points, strict=True)],
-                    "early": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(early)]), pa.int32()), pa.array(marks[keep].view(np.int64))),
+                    "point": [None if j is None else points[j].tobytes() for j in k],
+                    "early": pa.array([None if j is None else lists[first[j] : first[j + 1]] for j in k], pa.list_(pa.int64())),
+                    "salt": pa.array([None if j is None or not parts[first[j] : first[j + 1]].any() else salt[first[j] : first[j + 1]] for j in k], pa.list_(pa.int64())),
                 })
+        settled()
+
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n long, node long, point binary, early array<long>, salt array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n long, node long, point binary, early array<long>")
+def pieces(postings: DataFrame) -> DataFrame:
+    """block, piece, members: blocks of two nodes at least, in pieces, from rows key, part, node. Rows stream by in the order of part and node, so no block is held.
 
+    A block that fits a piece is named by its members, so that equal ones can be told; others by their key.
+    """
 
-def block_rows(postings: DataFrame) -> DataFrame:
-    """key, node, n, first, before: rows of blocks of two nodes at least, with the block's first node and the node before. Blocks stream by in the order of key, so none is held."""
+    def out(block: np.ndarray, piece: np.ndarray, node: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(node))
+        return pa.RecordBatch.from_pydict({"block": block, "piece": piece, "members": members})
+
+    def whole(part: np.ndarray, key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of blocks (and salted parts of blocks) that are complete, in order."""
+        if not len(part):
+            return
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.append(start, len(part)))
+        salted = part[start] != key[start]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(node.view(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7)))])
+        name = mixed(sums[start + size] - sums[start] + size.astype(np.uint64)).view(np.int64)
+        one = np.flatnonzero((size > 1) & (size <= PIECE) & ~salted)
+        one = one[np.unique(name[one], return_index=True)[1]]
+        if len(one):
+            at = np.repeat(start[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(size[one].sum())
+            yield out(name[one], np.zeros(len(one), np.int64), node[at], np.cumsum(size[one]))
+        for k in np.flatnonzero((size > PIECE) | salted).tolist():
+            a, b = start[k], start[k] + size[k]
+            for at in range(a, b, PIECE):
+                yield out(key[a : a + 1], part[a : a + 1] + (at - a) // PIECE, node[at : min(b, at + PIECE)], np.array([min(b, at + PIECE) - at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, n, node of the last row; first n, node of its block; whether that row is out already
+        held, given = [np.zeros(0, np.int64)] * 3, 0  # rows of the block that may go on; pieces of it that are out
         for batch in batches:
-            key, n, node = (batch.column(c).to_numpy() for c in ("key", "n", "node"))
-            if last is not None:
-                key, n, node = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], n]), np.concatenate([[last[2]], node])
-            starts = np.ones(len(key), bool)
-            starts[1:] = key[1:] != key[:-1]
-            same = np.zeros(len(key), bool)  # copies: rows of the node before
-            same[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
-            lead = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
-            first, first_n = node[lead], n[lead]
-            if last is not None:
-                own = lead == 0
-                first[own], first_n[own] = last[4], last[3]
-            at = np.flatnonzero(~starts & ~same)
-            at = at[at > 0]
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"key": key[at], "node": node[at], "n": n[at], "first": first[at], "first_n": first_n[at], "before": node[at - 1], "before_n": n[at - 1]})
-            last = key[-1], n[-1], node[-1], first_n[-1], first[-1]
-
-    schema = "key long, node long, n long, first long, first_n long, before long, before_n long"
-    return postings.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, schema)
-
-
-def points_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Points from bytes. A count of 255 stands for that or more, so it bounds as no limit."""
-    out = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    out[out == 255] = 1 << 20
-    return out
+            part, key, node = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("part", "key", "node"), strict=True))
+            new = np.ones(len(part), bool)
+            new[1:] = (part[1:] != part[:-1]) | (node[1:] != node[:-1])
+            part, key, node = part[new], key[new], node[new]
+            if given:  # the end of a block of which pieces are out
+                end = int(np.searchsorted(part, part[0], "right"))
+                if end < len(part):
+                    yield out(key[:1], part[:1] + given, node[:end], np.array([end]))
+                    part, key, node, given = part[end:], key[end:], node[end:], 0
+            last = int(np.searchsorted(part, part[-1], "left"))
+            yield from whole(part[:last], key[:last], node[:last])
+            part, key, node = part[last:], key[last:], node[last:]
+            while len(part) > 2 * PIECE:
+                yield out(key[:1], part[:1] + given, node[:PIECE], np.array([PIECE]))
+                part, key, node, given = part[PIECE:], key[PIECE:], node[PIECE:], given + 1
+            held = [part, key, node]
+        if given:
+            yield out(held[1][:1], held[0][:1] + given, held[2], np.array([len(held[2])]))
+        else:
+            yield from whole(*held)
+
+    dealt = postings.repartition("part").sortWithinPartitions("part", "node")
+    found = dealt.select("part", "key", "node").mapInArrow(run, "block long, piece long, members array<long>")
+    return found.groupBy("block", "piece").agg(F.first("members").alias("members"))
 
 
 def enough(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -170,130 +238,225 @@ def enough(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return 100 * overlap >= PERCENT * (sizes - overlap)
 
 
-class Tree:
-    """A packed R-tree of points sorted by size: level 0 the points, each further one boxes of 16."""
-
-    def __init__(self, points: np.ndarray, n: np.ndarray, side: np.ndarray):
-        self.order = np.lexsort((points[:, 1], points[:, 0], n)) if len(n) else np.zeros(0, np.int64)
-        self.levels = [(points[self.order].astype(np.int32), n[self.order], n[self.order], side[self.order], side[self.order])]
-        while len(self.levels[-1][1]) > 1:
-            upper, low, high, least, most = self.levels[-1]
-            at = np.arange(0, len(low), 16)
-            self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)))
-
-
-def tree_pairs(a: Tree, b: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of different sides whose bound reaches the threshold (each once if same). Descends both trees level by level."""
-    if not len(a.order) or not len(b.order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    depth = max(len(a.levels), len(b.levels)) - 1
-    level = lambda t, d: t.levels[min(d, len(t.levels) - 1)]
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for d in range(depth, -1, -1):
-        (ua, la, ha, sa, ma), (ub, lb, hb, sb, mb) = level(a, d), level(b, d)
-        keep = (100 * ha[i] >= PERCENT * lb[j]) & (100 * hb[j] >= PERCENT * la[i]) & ~((sa[i] == ma[i]) & (sb[j] == mb[j]) & (sa[i] == sb[j]))
-        if same:
-            keep &= i <= j if d else i < j
-        i, j = i[keep], j[keep]
-        ok = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 13):
-            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-            ok[at : at + (1 << 13)] = enough(np.minimum(ua[x], ub[y]).sum(1), la[x] + lb[y])
-        i, j = i[ok], j[ok]
-        if d:
-            i, j = _crossed(*(_children(x, len(t.levels) > d, len(level(t, d - 1)[1])) for x, t in ((i, a), (j, b))))
-    return a.order[i], b.order[j]
-
-
-def _children(i: np.ndarray, deep: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end of each entry's children; a tree that isn't so deep waits."""
-    return (i * 16, np.minimum(i * 16 + 16, n)) if deep else (i, i + 1)
-
-
-def _crossed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    na, nb = a[1] - a[0], b[1] - b[0]
-    total = na * nb
-    k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-    wide = np.repeat(nb, total)
-    return np.repeat(a[0], total) + k // np.maximum(wide, 1), np.repeat(b[0], total) + k % np.maximum(wide, 1)
-
-
-def searched(blocks: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes of one block and different sides whose bound reaches the threshold, each with one group (key, x, y) that found it.
-
-    blocks: key, node, n, side, point. Large blocks are dealt in chunks: each pair of chunks is a group of its own.
-    """
-    sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    # chunk c of a block of k meets chunks c to k - 1 as their left side and 0 to c as their right side
-    dealt = blocks.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "node", "n", "side", "point", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("left"))
+class Forest:
+    """Packed R-trees of points, one for each run of equal `tree` (ascending): level 0 the points, each further one boxes of 16 of one tree, the last one box a tree."""
+
+    def __init__(self, points: np.ndarray, n: np.ndarray, tree: np.ndarray):
+        self.levels = [(points, n, n)]
+        self.children: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(tree) and (tree[1:] == tree[:-1]).any():
+            start = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+            nth = np.arange(len(tree)) - np.repeat(start, np.diff(np.append(start, len(tree))))
+            at = np.flatnonzero(nth % 16 == 0)
+            upper, low, high = self.levels[-1]
+            self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            self.children.append((at, np.append(at[1:], len(tree))))
+            tree = tree[at]
+        self.roots = tree
+
+    def bound(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether each pair of boxes can hold a pair that links: by their sizes and by the sum of lesser upper corners. A count of 255 stands for that or more."""
+        upper, low, high = self.levels[level]
+        keep = (100 * high[i] >= PERCENT * low[j]) & (100 * high[j] >= PERCENT * low[i])
+        at = np.flatnonzero(keep)
+        both = np.minimum(upper[i[at]], upper[j[at]])
+        keep[at] = enough(both.sum(1, dtype=np.int32), low[i[at]] + low[j[at]]) | (both == 255).any(1)
+        return keep
+
+    def pairs(self, i: np.ndarray, j: np.ndarray, at_once: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of points, in lots, that lie below the pairs of roots i, j (i <= j) and whose bounds hold down to their leaves. The bound of the points is left to the caller."""
+        for level in range(len(self.levels) - 1, 0, -1):
+            ok = np.concatenate([self.bound(level, i[k : k + at_once], j[k : k + at_once]) for k in range(0, len(i), at_once)] or [np.zeros(0, bool)])
+            i, j = i[ok], j[ok]
+            if level > 1:
+                i, j = self._below(level, i, j)
+        if len(self.levels) == 1:
+            yield i[i < j], j[i < j]
+            return
+        for k in range(0, len(i), at_once // 64):
+            x, y = self._below(1, i[k : k + at_once // 64], j[k : k + at_once // 64])
+            yield x[x < y], y[x < y]
+
+    def _below(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, end = self.children[level - 1]
+        wide, high = end[j] - first[j], end[i] - first[i]
+        total = wide * high
+        k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        wide = np.repeat(wide, total)
+        x, y = np.repeat(first[i], total) + k // wide, np.repeat(first[j], total) + k % wide
+        return x[x <= y], y[x <= y]
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least labels after joining a and b. label[k] <= k names the set of k."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def tile_groups(tile: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its group) of the nodes that pairs of surviving points connect. A tile is a piece (side 0) or two that meet."""
+    order = np.lexsort((points[:, 1], points[:, 0], n, side, tile))
+    tile, side, node, n, points = tile[order], side[order], node[order], n[order], points[order]
+    tree = np.cumsum(np.concatenate([[0], (tile[1:] != tile[:-1]) | (side[1:] != side[:-1])]))
+    forest = Forest(points, n, tree)
+    first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+    mate = np.zeros(len(first), bool)  # roots whose tile goes on with the next root
+    mate[:-1] = tile[first[1:]] == tile[first[:-1]]
+    after = np.concatenate([[False], mate[:-1]])
+    i = np.flatnonzero(~after)
+    j = i + mate[i]
+    names_, at = np.unique(node, return_inverse=True)
+    label = np.arange(len(names_))
+    for x, y in forest.pairs(i, j):
+        open_ = label[at[x]] != label[at[y]]
+        x, y = x[open_], y[open_]
+        ok = forest.bound(0, x, y)
+        label = merged(label, at[x[ok]], at[y[ok]])
+    some = label != np.arange(len(label))
+    return names_[some], names_[label[some]]
+
+
+def searched(blocks: DataFrame, points: DataFrame) -> DataFrame:
+    """a, b: nodes that surviving pairs connect. blocks: of pieces(), stored; points: node, n, point."""
+    meets = blocks.join(blocks.select("block", F.col("piece").alias("other")), "block")
+    tile = F.xxhash64("block", F.least("piece", "other"), F.greatest("piece", "other"))
+    dealt = meets.select(tile.alias("tile"), (F.col("piece") > F.col("other")).cast("int").alias("side"), F.explode("members").alias("node"))
+    bins = max(least_parts(blocks), dealt.count() // BIN_ROWS)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        node, n, side, left = (table.column(c).to_numpy() for c in ("node", "n", "side", "left"))
-        points = points_of(table.column("point"))
-        same = key[1].as_py() == key[2].as_py()
-        pick = [np.flatnonzero(left), np.flatnonzero(left if same else ~left.astype(bool))]
-        trees = [Tree(points[p], n[p], side[p]) for p in pick]
-        i, j = tree_pairs(*trees, same)
-        a, b = node[pick[0][i]], node[pick[1][j]]
+        rows = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        a, b = tile_groups(*(table.column(c).to_numpy() for c in ("tile", "side", "node", "n")), rows)
         if len(a):
-            own = {c: pa.array(np.full(len(a), k.as_py()), t) for c, k, t in zip(("key", "x", "y"), key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), **own})
+            yield pa.RecordBatch.from_pydict({"a": b, "b": a})
+        settled()
+
+    found = dealt.join(points, "node").withColumn("bin", F.pmod("tile", F.lit(bins)))
+    return found.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
+
 
-    found = dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long, key long, x int, y int")
-    return found.groupBy("a", "b").agg(F.min(F.struct("key", "x", "y")).alias("_")).select("a", "b", "_.*")
+def least_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def perhaps_in(docs: DataFrame, ids: DataFrame, within: bool) -> DataFrame:
     """Rows of docs whose doc_id may be in ids (all that are, few others), or the rest. A bit table of one size for any corpus, so it is broadcast."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, of, bits_ = unused(docs, "_w", "_b", "_bits")
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    bits = ids.select(F.floor(slot / 64).alias("_w"), one.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
-    hit = F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))
-    return docs.withColumn("_w", F.floor(slot / 64)).join(F.broadcast(bits), "_w", "left").filter(hit if within else ~hit).select(*docs.columns)
+    bits = ids.select(F.floor(slot / 64).alias(word), one.alias(of)).groupBy(word).agg(F.bit_or(of).alias(bits_))
+    hit = F.coalesce(F.col(bits_).bitwiseAND(one) != 0, F.lit(False))
+    return docs.withColumn(word, F.floor(slot / 64)).join(F.broadcast(bits), word, "left").filter(hit if within else ~hit).select(*docs.columns)
 
 
 def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that are linked to a document of a lesser doc_id, and with one of rows that repeat doc_id and text. Rows without doc_id stay."""
-    rows = joined(docs, text)[0].select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("gone"))
+    """docs without those that are linked to a document of a lesser doc_id. Of rows that repeat doc_id and text one stays (that
+    of the least JSON of all columns). Rows without doc_id stay; so do rows of one doc_id with other texts, unless they are linked to a lesser one."""
+    rows = joined(docs, text).select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("gone"))
     odd = stored(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max("gone").alias("gone"), F.count("*").alias("n")).filter("gone or n > 1").select("doc_id", "gone"), "odd")
     kept = perhaps_in(docs, odd, False)
-    asked = perhaps_in(docs, odd, True).alias("d").join(odd.alias("o"), F.col("d.doc_id") == F.col("o.doc_id"), "left")
+    asked = perhaps_in(docs, odd, True).alias("d").join(odd.alias("o"), F.col("d.doc_id").cast("long") == F.col("o.doc_id"), "left")
     single = asked.filter("o.doc_id is null").select("d.*")
-    repeated = asked.filter("o.doc_id is not null and not o.gone").select("d.*").dropDuplicates(["doc_id", text])
+    key, row = unused(docs, "_k", "_r")
+    repeated = asked.filter("o.doc_id is not null and not o.gone").select("d.*")
+    repeated = repeated.groupBy(F.struct(F.col("doc_id"), F.col(text)).alias(key)).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias(row)).select(f"{row}.*")
     return kept.unionByName(single).unionByName(repeated)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, about: DataFrame) -> DataFrame:
-    """The pairs a, b of nodes that link, by their shingles. pairs: of searched; about: node, doc_id. A text goes once to each group that holds pairs of it."""
-    pairs = stored(pairs, "pairs")
-    block = ["key", "x", "y"]
-    nodes = pairs.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(nodes.join(about.select("node", "doc_id"), "node"), "wanted")
-    # most texts aren't wanted: few others pass this, and the join below is exact
+def overlaps(marks: np.ndarray, ends: np.ndarray, left: int) -> np.ndarray:
+    """Sizes of the intersections of the first `left` sets with all from `left` on (with each other if left is their number).
+
+    Shingles of few sets are counted pair by pair, those of many by a product of 0/1 matrices, some columns at a time.
+    """
+    m = len(ends) - 1
+    from_, wide = (0, m) if left == m else (left, m - left)
+    row = np.repeat(np.arange(m), np.diff(ends))
+    order = np.argsort(marks, kind="stable")
+    marks, row = marks[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])) if len(marks) else np.zeros(0, np.int64)
+    df = np.diff(np.append(start, len(marks)))
+    out = np.zeros((left, wide), np.int32)
+    for d in range(2, 9):
+        rows = row[start[df == d][:, None] + np.arange(d)]
+        for p in range(d):
+            for q in range(p + 1, d):
+                x, y = rows[:, p], rows[:, q]
+                own = (x < left) & (y >= from_)
+                x, y = x[own], y[own] - from_
+                np.add.at(out, (x, y), 1)
+                if left == m:
+                    np.add.at(out, (y, x), 1)
+    many = start[df > 8], df[df > 8]
+    for k in range(0, len(many[0]), 2048):
+        first, size = many[0][k : k + 2048], many[1][k : k + 2048]
+        has = np.zeros((m, len(first)), np.float32)
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        has[row[at], np.repeat(np.arange(len(first)), size)] = 1
+        out += (has[:left] @ has[from_:].T).astype(np.int32)
+    return out
+
+
+def verified(groups: DataFrame, docs: DataFrame, text: str, about: DataFrame) -> tuple[DataFrame, bool]:
+    """node, others (rows that it links with, its copies aside), least (the least node that it is connected to) of every task
+    that a node is in, and whether some group has several tasks.
+
+    groups: node, side (the candidate group). about: node, doc_id, n, copies. A text goes once to each task that holds it.
+    """
+    wanted = groups.join(about, "node")
+    sizes = wanted.groupBy("side").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
+    chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("all") / CHUNK_SHINGLES)).cast("int")
+    wanted = wanted.join(sizes.select("side", chunks.alias("chunks")), "side").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
+    wanted = stored(wanted.select("node", "doc_id", "n", "copies", "side", "chunks", "own"), "wanted")
+    total = wanted.agg(F.sum(F.col("n") * F.col("chunks")).alias("s"), F.max("chunks").alias("c")).first()
+    bins, deep = max(least_parts(docs), (total["s"] or 0) // BIN_SHINGLES), (total["c"] or 1) > 1
     some = perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted, True)
+    met = some.join(wanted, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    met = met.select("node", "copies", F.xxhash64("side", x, y).alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") == F.col("other")).alias("alone"), "text")
+    met = met.withColumn("bin", F.pmod("tile", F.lit(bins)))
 
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets, ok = {}, []
-        for batch in right.to_batches():
+    def verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[int, dict] = {}  # sides of each tile: node -> copies, shingles
+        for batch in batches:
             for part in slices(batch):
                 marks, ends = shingle_sets(part.column("text"))
-                for k, (node, name) in enumerate(zip(part.column("node").to_pylist(), names(marks, ends).tolist(), strict=True)):
-                    if name == node:  # else a row of that doc_id with another text
-                        sets[node] = marks[ends[k] : ends[k + 1]].copy()
-        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
-            x, y = sorted((sets[x], sets[y]), key=len)
-            ok.append(bool(enough(np.count_nonzero(member(x, y)[0]), len(x) + len(y))))
-        return left.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    met = some.join(wanted, "doc_id").select(*block, "node", "text")
-    links = stored(pairs.groupBy(*block).cogroup(met.groupBy(*block)).applyInArrow(verify, "a long, b long"), "links")
-    for x in (pairs, wanted):
-        discard(x)
+                same = names(marks, ends) == part.column("node").to_numpy()  # else a row of that doc_id with another text
+                for k, (node, copies, tile, side, alone) in enumerate(zip(*(part.column(c).to_pylist() for c in ("node", "copies", "tile", "part", "alone")), strict=True)):
+                    if same[k]:
+                        tiles.setdefault(tile, {"alone": alone, 0: {}, 1: {}})[side][node] = copies, marks[ends[k] : ends[k + 1]].copy()
+        for tile in tiles.values():
+            ids = np.array([*tile[0], *tile[1]], np.int64)
+            copies, sets = zip(*tile[0].values(), *tile[1].values(), strict=True)
+            copies, n = np.array(copies, np.int64), np.array([len(s) for s in sets])
+            m, left = len(ids), len(tile[0])
+            if not tile["alone"] and left in (0, m):
+                continue
+            link = np.zeros((m, m), bool)
+            got = overlaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]), m if tile["alone"] else left)
+            if tile["alone"]:
+                link = enough(got, n[:, None] + n)
+                np.fill_diagonal(link, False)
+            else:
+                link[:left, left:] = enough(got, n[:left, None] + n[left:])
+                link |= link.T
+            order = np.argsort(ids)
+            rank = np.argsort(order)
+            a, b = np.nonzero(np.triu(link))
+            label = merged(np.arange(m), rank[a], rank[b])
+            yield pa.RecordBatch.from_pydict({"node": ids, "others": link @ copies, "least": ids[order][label[rank]]})
+        settled()
+
+    out = stored(met.groupBy("bin").applyInArrow(verify, "node long, others long, least long"), "verified")
+    discard(wanted)
     freed(docs.sparkSession)
-    return links
+    return out, deep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,27 +477,35 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("side"))
 
 
-def joined(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id, n_links of each row of docs; a, b: all links between nodes).
+def named(stars: DataFrame) -> DataFrame:
+    """stars (node, side of all nodes but the least ones) with the least nodes themselves."""
+    return stars.unionByName(stars.select(F.col("side").alias("node"), "side").distinct())
+
 
-    n_links counts the other rows that a row links with, copies included. A set that only rows without doc_id have links with nothing.
+def joined(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row of docs.
+
+    component_id is the least doc_id that links reach; n_links counts the other rows that a row
+    links with, copies included. A set that only rows without doc_id have links with nothing.
     """
+    spark = docs.sparkSession
     whole = stored(described(docs, text, counters(docs, text)), "described")
-    rows = stored(whole.drop("early"), "rows")
-    about = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("copies"))
-    about = stored(about.filter("doc_id is not null"), "about")
-    postings = whole.filter("node is not null").select("node", "n", F.explode("early").alias("key"))
-    blocks = stored(block_rows(postings), "blocks")
+    rows = stored(whole.select("doc_id", "n", "node"), "rows")
+    about = stored(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")).filter("doc_id is not null"), "about")
+    found = whole.filter("early is not null").select("node", "salt", F.posexplode("early").alias("pos", "key"))
+    salt = F.coalesce(F.get("salt", F.col("pos")), F.lit(0))
+    blocks = stored(pieces(found.select("key", F.when(salt > 0, F.xxhash64("key", salt)).otherwise(F.col("key")).alias("part"), "node")), "blocks")
+    freed(spark)
+    points = whole.filter("point is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point")).join(about.select("node"), "node")
+    edges = stored(searched(blocks, points), "edges")
     discard(whole)
-    freed(docs.sparkSession)
-    members = blocks.select("key", "node", "n").unionByName(blocks.select("key", F.col("first").alias("node"), F.col("first_n").alias("n"))).dropDuplicates(["key", "node"])
-    members = members.withColumn("side", F.col("node")).join(about.select("node", "point"), "node")
-    links = verified(searched(members), docs, text, about)
-    sides = components(links)
+    discard(blocks)
+    freed(spark)
+    out, deep = verified(named(components(edges)), docs, text, about)
+    discard(edges)
+    sides = named(components(out.select(F.col("node").alias("a"), F.col("least").alias("b")))) if deep else out.select("node", F.col("least").alias("side"))
     names_ = about.select("node", "doc_id", "copies").join(sides, "node", "left").select("node", "doc_id", "copies", F.coalesce("side", "node").alias("side"))
     least = names_.groupBy("side").agg(F.min("doc_id").alias("component_id"))
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("node")), F.struct(F.col("b").alias("of"), F.col("a").alias("node")))).alias("e")).select("e.*")
-    others = ends.join(about.select("node", "copies"), "node").groupBy(F.col("of").alias("node")).agg(F.sum("copies").alias("others"))
-    named = names_.join(least, "side").join(others, "node", "left").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out, links
+    others = out.groupBy("node").agg(F.sum("others").alias("others"))
+    ends = names_.join(least, "side").join(others, "node", "left").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc_id", "n", "node").join(ends, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

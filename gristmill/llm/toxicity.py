@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, Words, add_columns, member, mixed, slices
+from ._common import ALNUM, LOWER, Words, add_columns, member, mixed, place_keys, slices
 
 #: The bound of labelled documents that the fit takes.
 SAMPLE = 30_000
@@ -53,16 +53,14 @@ class Model:
 
 def features(words: Words) -> list[np.ndarray]:
     """Token hashes of every word: itself and, where it is longer, its prefixes (0 elsewhere)."""
-    from ._common import _BASE, LOWER, _power
-
     out, length = [words.hash], words.end - words.start
-    powers, _ = _power(max(PREFIXES) + 1)
+    keys = place_keys(max(PREFIXES))
     sums = np.zeros(len(words.start), np.uint64)
     for k in range(max(PREFIXES)):
         at = np.minimum(words.start + k, max(len(words.data) - 1, 0))
-        sums = sums + (LOWER[words.data[at]].astype(np.uint64) + np.uint64(1)) * powers[k] if len(at) else sums
+        sums = sums + (LOWER[words.data[at]].astype(np.uint64) + np.uint64(1)) * keys[k] if len(at) else sums
         if k + 1 in PREFIXES:
-            out.append(np.where(length > k + 1, mixed(sums + np.uint64((k + 1) * int(_BASE) % (1 << 64))), np.uint64(0)))
+            out.append(np.where(length > k + 1, mixed(sums + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), np.uint64(0)))
     return out
 
 

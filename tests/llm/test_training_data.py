@@ -92,9 +92,9 @@ def brute_components(rows):
 
 
 def test_ngram_join(spark, docs, rows):
-    out, _ = ngram_join.joined(docs)
+    out = ngram_join.joined(docs)
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()], key=str) == brute_components(rows)
-    assert ngram_join.joined(empty(spark))[0].count() == 0
+    assert ngram_join.joined(empty(spark)).count() == 0
     kept = ngram_join.representatives(docs)
     want = {c for d, n, c in brute_components(rows) if d is not None}
     assert {r["doc_id"] for r in kept.collect()} - {None} == want and kept.columns == docs.columns
@@ -114,31 +114,74 @@ def test_all_links_are_counted(spark):
     sets = [shingles(x[1]) for x in given]
     linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
     want = [sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
-    out, links = ngram_join.joined(spark.createDataFrame(given, DOCS).repartition(3))
+    out = ngram_join.joined(spark.createDataFrame(given, DOCS).repartition(3))
     assert {x["doc_id"]: x["n_links"] for x in out.collect()} == {x[0]: n for x, n in zip(given, want, strict=True)} and max(want) > 9
-    kinds = list(set(sets))
-    assert links.distinct().count() == links.count() == sum(linked(a, b) for i, a in enumerate(kinds) for b in kinds[:i])
+
+
+def near_group(r, n, words=90, edits=6):
+    """Near copies of one text: their links form one component, but not all pairs link."""
+    base, out = [f"v{r.randrange(5000)}" for _ in range(words)], []
+    for k in range(n):
+        w = list(base)
+        for _ in range(r.randrange(edits)):
+            w[r.randrange(words)] = f"u{k}_{r.randrange(99)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_large_groups_in_pieces_and_chunks(spark, monkeypatch, small):
+    """One large group of near copies, of copies, and pairs; with blocks in pieces, groups in chunks and hot shingles in salted parts."""
+    r = random.Random(13)
+    given = near_group(r, 160) + near_group(r, 1) * 70 + [t for _ in range(20) for t in near_group(r, 2, 40, 4)]
+    rows = [(1000 - k, t, 1, 0.5) for k, t in enumerate(given)]
+    if small:
+        for name, value in (("PIECE", 7), ("CHUNK", 9), ("HOT", 20), ("BIN_ROWS", 50), ("BIN_SHINGLES", 500), ("COUNTERS", 1 << 12)):
+            monkeypatch.setattr(ngram_join, name, value)
+    sets = [shingles(t) for t in given]
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = [sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    out = {x["doc_id"]: x for x in ngram_join.joined(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    assert [out[x[0]]["n_links"] for x in rows] == want and 100 < sum(n < 159 for n in want[:160])
+    assert sorted([(x["doc_id"], x["n_shingles"], x["component_id"]) for x in out.values()], key=str) == brute_components(rows)
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_tree_finds_all_pairs(seed):
+def test_forest_finds_all_pairs(seed):
     r = np.random.default_rng(seed)
-    points = np.repeat(r.integers(0, 9, (40, ngram_join.GROUPS)), 5, 0) + (r.random((200, ngram_join.GROUPS)) < 0.1)
-    n, side = points.sum(1), r.integers(0, 60, 200)
-    i, j = ngram_join.tree_pairs(*[ngram_join.Tree(points, n, side)] * 2, True)
-    got = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)}
-    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if side[a] != side[b] and ngram_join.enough(np.minimum(points[a], points[b]).sum(), n[a] + n[b])}
-    assert got == want
-    half = [ngram_join.Tree(points[s], n[s], side[s]) for s in (slice(0, 90), slice(90, 200))]
-    i, j = ngram_join.tree_pairs(*half, False)
-    assert {(a, b + 90) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a, b in want if a < 90 <= b}
-
-
-def test_chunks_of_blocks_meet(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 7)
-    point = np.ones(ngram_join.GROUPS, np.uint8).tobytes()
-    blocks = spark.createDataFrame([(1, k, ngram_join.GROUPS, k % 5, point) for k in range(50)], "key long, node long, n long, side long, point binary")
-    assert {(r["a"], r["b"]) for r in ngram_join.searched(blocks).collect()} == {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 5 != b % 5}
+    points = (np.repeat(r.integers(0, 9, (80, ngram_join.GROUPS)), 5, 0) + (r.random((400, ngram_join.GROUPS)) < 0.1)).astype(np.uint8)
+    points = points[r.permutation(400)]
+    points[r.integers(0, 400, 30), r.integers(0, 256, 30)] = 255
+    n = points.sum(1, dtype=np.int64)
+    tree = np.sort(r.integers(0, 7, 400))
+    f = ngram_join.Forest(points, n, tree)
+    roots = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
+    i, j = np.array([0, 1, 2, 3, 4, 5, 6, 0, 2]), np.array([0, 1, 2, 3, 4, 5, 6, 3, 4])
+    assert len(roots) == 7 and len(f.roots) == 7
+    got = {(a, b) for x, y in f.pairs(i, j) for a, b in zip(x.tolist(), y.tolist(), strict=True) if f.bound(0, np.array([a]), np.array([b]))[0]}
+    meet = set(zip(i.tolist(), j.tolist(), strict=True))
+    low = np.where(points == 255, 1 << 20, points.astype(np.int64))
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if (tree[a], tree[b]) in meet and 100 * n[a] >= 75 * n[b] and 100 * n[b] >= 75 * n[a] and ngram_join.enough(np.minimum(low[a], low[b]).sum(), n[a] + n[b])}
+    assert got == want and any(tree[a] != tree[b] for a, b in want)
+
+
+def test_overlaps():
+    r = random.Random(3)
+    sets = [np.array(sorted(r.sample(range(60), r.randrange(60))), np.uint64) for _ in range(25)]
+    marks, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    size = lambda a, b: len(set(a.tolist()) & set(b.tolist()))
+    whole = ngram_join.overlaps(marks, ends, 25)
+    assert all(whole[i, j] == size(sets[i], sets[j]) for i in range(25) for j in range(25) if i != j)
+    assert ngram_join.overlaps(marks, ends, 9).tolist() == [[size(a, b) for b in sets[9:]] for a in sets[:9]]
+
+
+def test_patterned_words_have_own_hashes():
+    """Words of the Thue-Morse sequence and their complements collide under powers of any one base modulo 2^64."""
+    from gristmill.llm._common import SPACED, Words
+
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    given = [x for n in (1024, 2048, 4096) for x in (a[:n], a[:n].translate(str.maketrans("ab", "ba")))]
+    assert len(set(Words(pa.array([" ".join(given)]), SPACED).hash.tolist())) == 6
 
 
 def test_fingerprints(spark, docs, rows):
