@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into numpy arrays at a time.
 SLICE_BYTES = 1 << 20
@@ -26,10 +27,12 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; in a session
-    without one (tests), a temporary folder that goes at exit."""
+    """The shared folder that ``spark.checkpoint.dir`` names; in a local session
+    without one (tests), a temporary folder that goes at exit. On a cluster it has to be set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_gristmill_scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + (local := tempfile.mkdtemp(prefix="gristmill-"))
         atexit.register(shutil.rmtree, local, True)
         spark.sparkContext._gristmill_scratch = base
@@ -86,6 +89,21 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bits of the filter of perhaps_in: one size for any corpus.
+FILTER_BITS = 1 << 23
+
+
+def perhaps_in(docs: DataFrame, ids: DataFrame, within: bool, on: str = "doc_id") -> DataFrame:
+    """Rows of docs whose `on` may be in ids (all that are, few others), or the rest. A bit table of one size for any corpus, so it is broadcast."""
+    word, of, bits_ = unused(docs, "_w", "_b", "_bits")
+    value = F.col(on).cast("long") if on == "doc_id" else F.col(on)
+    slot = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bits = ids.select(F.floor(slot / 64).alias(word), one.alias(of)).groupBy(word).agg(F.bit_or(of).alias(bits_))
+    hit = F.coalesce(F.col(bits_).bitwiseAND(one) != 0, F.lit(False))
+    return docs.withColumn(word, F.floor(slot / 64)).join(F.broadcast(bits), word, "left").filter(hit if within else ~hit).select(*docs.columns)
+
+
 # --- Arrow -------------------------------------------------------------------
 
 
@@ -245,6 +263,11 @@ def add_columns(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: st
     return source.mapInArrow(per_slice(run, text), T.StructType([docs.schema[c] for c in kept] + list(new)))
 
 
+def where(docs: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of docs for which fn, given slices of docs, is true. No column is added, so none can clash."""
+    return docs.mapInArrow(per_slice(lambda part: part.filter(pa.array(np.asarray(fn(part), bool))), text), docs.schema)
+
+
 def pa_type(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -1,11 +1,13 @@
 """Jaccard join on word shingles with count-vector R-trees.
 
-Shingles of a document are hashed into 256 groups; the counts of its groups are
-a point. The overlap of two documents can't exceed the sum of the lesser
-counts, group by group, nor that of two boxes of points the sum over their upper
+Shingles of a document are hashed into groups; the counts of its groups are a
+point. The overlap of two documents can't exceed the sum of the lesser counts,
+group by group, nor that of two boxes of points the sum over their upper
 corners. An R-tree of points with dual-tree descent thus finds every pair whose
 bound reaches what the threshold asks for, and what survives is verified on
-shingles.
+shingles. There are about as many groups as shingles (a power of two), so the
+bound is as close for long documents as for short ones; documents of one power
+meet those of the next one with adjacent groups added up.
 
 Points of unlike documents of one size lie about as near as the threshold
 reaches, so one tree over a corpus would visit most pairs of leaves. Trees are
@@ -20,7 +22,8 @@ The pairs that the trees of a block leave over are reported as the groups that
 they connect, so a block of k documents sends fewer than k rows however many
 pairs it has. Groups of all blocks merge into candidate groups, and each of
 these is verified: exact intersections of all its pairs, each pair in one
-task (groups are dealt in chunks, and two chunks meet in one task). Links leave
+task. Members of a large group are told by their differences from a reference
+set, and dealt in chunks; two chunks meet in one task. Links leave
 such a task as counts by document and, again, as what they connect. Hence work
 in a group of near copies grows with the square of its different texts, as its
 links do, but no table ever has a row for each pair.
@@ -44,16 +47,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, Words, discard, freed, grams, mixed, settled, slices, stored, unused
+from ._common import SPACED, Words, discard, freed, grams, member, mixed, perhaps_in, settled, slices, stored, unused
 
-SHINGLE, GROUPS = 5, 256
+#: Words of a shingle, and the least number of groups.
+SHINGLE, GROUPS = 5, 64
 #: Links: 100 * intersection >= 75 * union. With sizes a and b: intersection >= 3/7 (a + b).
 PERCENT = 75
-#: Counters of the order of shingles, and of the filter of documents to verify. Fixed sizes.
-COUNTERS, FILTER_BITS = 1 << 21, 1 << 23
-#: Members of a piece of a block. Members and shingles of a chunk of a candidate group. Rows and shingles that one call of Python works on.
-PIECE, CHUNK, CHUNK_SHINGLES = 1024, 512, 1 << 19
-BIN_ROWS, BIN_SHINGLES = 1 << 13, 1 << 20
+#: Counters of the order of shingles: one number for any corpus.
+COUNTERS = 1 << 21
+#: Members of a piece of a block. Members and shingles of a chunk of a candidate group. Bytes of points, and shingles, that one call of Python works on.
+PIECE, CHUNK, CHUNK_SHINGLES = 1024, 1024, 1 << 19
+#: Members of a large group that its reference is taken from. Rows of candidates up to which they are broadcast.
+SAMPLED, BROADCAST_ROWS = 16, 1 << 17
+BIN_BYTES, BIN_SHINGLES = 1 << 22, 1 << 20
 #: Postings of a class of shingles that go to one task.
 HOT = 1 << 20
 
@@ -96,6 +102,30 @@ def unseen(name: np.ndarray, seen: set) -> np.ndarray:
     return out
 
 
+def group_bits(n: np.ndarray) -> np.ndarray:
+    """Of sizes of sets, the power of two that is their number of groups."""
+    return np.ceil(np.log2(np.maximum(n, GROUPS))).astype(np.int64)
+
+
+def nibbles(counts: np.ndarray) -> np.ndarray:
+    """Counts of pairs of groups in one byte. 15 stands for that or more: it bounds as no limit."""
+    few = np.minimum(counts, 15).astype(np.uint8)
+    return few[0::2] << 4 | few[1::2]
+
+
+def counts_of(points: list[bytes]) -> np.ndarray:
+    """Rows of counts from nibbles; 255 where there is no limit."""
+    raw = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    out = np.stack([raw >> 4, raw & 15], 2).reshape(len(points), -1)
+    out[out == 15] = 255
+    return out
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """Points of half as many groups. 255 stays 255 or more."""
+    return np.minimum(points.reshape(len(points), -1, 2).sum(2, dtype=np.int32), 255).astype(np.uint8)
+
+
 def counters(docs: DataFrame, text: str) -> np.ndarray:
     """How often shingles of each of COUNTERS classes occur: the table has one size for any corpus."""
     piece = COUNTERS // 16
@@ -149,8 +179,10 @@ def described(docs: DataFrame, text: str, order: np.ndarray) -> DataFrame:
                 own[some] = True
                 row = np.repeat(np.arange(len(n)), n)
                 marks, row = marks[own[row]], np.repeat(np.arange(len(some)), n[some])
-                points = np.bincount(row * GROUPS + (marks >> np.uint64(56)).astype(np.int64), minlength=len(some) * GROUPS).reshape(-1, GROUPS)
-                points = np.minimum(points, 255).astype(np.uint8)
+                bits = group_bits(n[some])
+                corner = np.concatenate([[0], np.cumsum(1 << bits)])
+                points = np.bincount(corner[row] + (marks >> (64 - bits[row]).astype(np.uint64)).astype(np.int64), minlength=corner[-1])
+                points, corner = nibbles(points), corner // 2
                 at = (marks & np.uint64(COUNTERS - 1)).astype(np.int64)
                 often = table[at].astype(np.uint64)
                 by = np.lexsort((marks, often, row))
@@ -166,7 +198,7 @@ def described(docs: DataFrame, text: str, order: np.ndarray) -> DataFrame:
                 lists = marks.view(np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n": n, "node": pa.array(name, pa.int64(), mask=n == 0),
-                    "point": [None if j is None else points[j].tobytes() for j in k],
+                    "point": pa.array([None if j is None else points[corner[j] : corner[j + 1]].tobytes() for j in k], pa.binary()),
                     "early": pa.array([None if j is None else lists[first[j] : first[j + 1]] for j in k], pa.list_(pa.int64())),
                     "salt": pa.array([None if j is None or not parts[first[j] : first[j + 1]].any() else salt[first[j] : first[j + 1]] for j in k], pa.list_(pa.int64())),
                 })
@@ -263,8 +295,9 @@ class Forest:
         keep[at] = enough(both.sum(1, dtype=np.int32), low[i[at]] + low[j[at]]) | (both == 255).any(1)
         return keep
 
-    def pairs(self, i: np.ndarray, j: np.ndarray, at_once: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points, in lots, that lie below the pairs of roots i, j (i <= j) and whose bounds hold down to their leaves. The bound of the points is left to the caller."""
+        at_once = max(64, (1 << 21) // self.levels[0][0].shape[1])  # a few MB of corners
         for level in range(len(self.levels) - 1, 0, -1):
             ok = np.concatenate([self.bound(level, i[k : k + at_once], j[k : k + at_once]) for k in range(0, len(i), at_once)] or [np.zeros(0, bool)])
             i, j = i[ok], j[ok]
@@ -273,8 +306,9 @@ class Forest:
         if len(self.levels) == 1:
             yield i[i < j], j[i < j]
             return
-        for k in range(0, len(i), at_once // 64):
-            x, y = self._below(1, i[k : k + at_once // 64], j[k : k + at_once // 64])
+        lot = max(1, at_once // 64)
+        for k in range(0, len(i), lot):
+            x, y = self._below(1, i[k : k + lot], j[k : k + lot])
             yield x[x < y], y[x < y]
 
     def _below(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,62 +334,81 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def tile_groups(tile: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its group) of the nodes that pairs of surviving points connect. A tile is a piece (side 0) or two that meet."""
-    order = np.lexsort((points[:, 1], points[:, 0], n, side, tile))
-    tile, side, node, n, points = tile[order], side[order], node[order], n[order], points[order]
-    tree = np.cumsum(np.concatenate([[0], (tile[1:] != tile[:-1]) | (side[1:] != side[:-1])]))
-    forest = Forest(points, n, tree)
-    first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
-    mate = np.zeros(len(first), bool)  # roots whose tile goes on with the next root
-    mate[:-1] = tile[first[1:]] == tile[first[:-1]]
-    after = np.concatenate([[False], mate[:-1]])
-    i = np.flatnonzero(~after)
-    j = i + mate[i]
+def tile_groups(tile: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its group) of the nodes that pairs of surviving points connect. A tile is a piece (side 0) or two that meet.
+
+    Each side of a tile has a tree for each number of groups; sizes that can link have the same or the next one.
+    """
+    bits = group_bits(n)
     names_, at = np.unique(node, return_inverse=True)
     label = np.arange(len(names_))
-    for x, y in forest.pairs(i, j):
-        open_ = label[at[x]] != label[at[y]]
-        x, y = x[open_], y[open_]
-        ok = forest.bound(0, x, y)
-        label = merged(label, at[x[ok]], at[y[ok]])
+    two = {t for t, s in zip(tile.tolist(), side.tolist(), strict=True) if s}
+    for few in np.unique(bits).tolist():
+        own = np.flatnonzero((bits == few) | (bits == few + 1))
+        rows = np.empty((len(own), 1 << few), np.uint8)
+        for b in (few, few + 1):
+            some = np.flatnonzero(bits[own] == b)
+            if len(some):
+                values = counts_of([points[k] for k in own[some].tolist()])
+                rows[some] = values if b == few else folded(values)
+        order = np.lexsort((rows[:, 1], rows[:, 0], n[own], bits[own], side[own], tile[own]))
+        own, rows = own[order], rows[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (np.diff(tile[own]) != 0) | (np.diff(side[own]) != 0) | (np.diff(bits[own]) != 0)
+        first = own[new]
+        root = {x: k for k, x in enumerate(zip(tile[first].tolist(), side[first].tolist(), bits[first].tolist(), strict=True))}
+        meet = []
+        for (t, s, b), k in root.items():
+            if b == few:
+                others = [(t, 1 - s, few), (t, 1 - s, few + 1)] if t in two else [(t, s, few), (t, s, few + 1)]
+                meet += [(k, root[x]) for x in others if x in root and (s == 0 or x[2] > few)]
+        if not meet:
+            continue
+        i, j = np.sort(np.array(meet), 1).T
+        forest = Forest(rows, n[own], np.cumsum(new) - 1)
+        for x, y in forest.pairs(i, j):
+            a, b = at[own[x]], at[own[y]]
+            open_ = label[a] != label[b]
+            x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+            ok = forest.bound(0, x, y)
+            label = merged(label, a[ok], b[ok])
     some = label != np.arange(len(label))
     return names_[some], names_[label[some]]
 
 
 def searched(blocks: DataFrame, points: DataFrame) -> DataFrame:
-    """a, b: nodes that surviving pairs connect. blocks: of pieces(), stored; points: node, n, point."""
+    """a, b: nodes that surviving pairs connect. blocks: of pieces(), stored; points: node, n, point.
+
+    Tiles with the same least member go to one call of Python, where a node's point is sent once for all its tiles.
+    """
     meets = blocks.join(blocks.select("block", F.col("piece").alias("other")), "block")
     tile = F.xxhash64("block", F.least("piece", "other"), F.greatest("piece", "other"))
-    dealt = meets.select(tile.alias("tile"), (F.col("piece") > F.col("other")).cast("int").alias("side"), F.explode("members").alias("node"))
-    bins = max(least_parts(blocks), dealt.count() // BIN_ROWS)
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        rows = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        a, b = tile_groups(*(table.column(c).to_numpy() for c in ("tile", "side", "node", "n")), rows)
-        if len(a):
-            yield pa.RecordBatch.from_pydict({"a": b, "b": a})
+    place = F.when(F.col("piece") == 0, F.xxhash64(F.array_min("members"))).otherwise(tile)  # those in several pieces are large enough to stand alone
+    dealt = meets.select(tile.alias("tile"), place.alias("place"), (F.col("piece") > F.col("other")).cast("int").alias("side"), F.explode("members").alias("node"))
+    size = dealt.select("place", "node").distinct().groupBy("node").agg(F.count("*").alias("k")).join(points.select("node", "n"), "node").agg(F.sum(F.col("k") * (F.col("n") + GROUPS))).first()[0]
+    bins = F.lit(max(least_parts(blocks), int(size or 0) // BIN_BYTES))
+    dealt = dealt.withColumn("bin", F.pmod("place", bins))
+    sent = dealt.select("bin", "node").distinct().join(points, "node").select(F.col("bin").alias("of"), F.col("node").alias("met"), "n", "point")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tile, side, node = (left.column(c).to_numpy() for c in ("tile", "side", "node"))
+        there, n = right.column("met").to_numpy(), right.column("n").to_numpy()
+        order = np.argsort(there)
+        ok, at = member(node, there[order])  # nodes without a doc_id have no point
+        at = order[at[ok]]
+        point = right.column("point").to_pylist()
+        a, b = tile_groups(tile[ok], side[ok], node[ok], n[at], [point[k] for k in at.tolist()])
         settled()
+        return pa.table({"a": pa.array(b, pa.int64()), "b": pa.array(a, pa.int64())})
 
-    found = dealt.join(points, "node").withColumn("bin", F.pmod("tile", F.lit(bins)))
-    return found.groupBy("bin").applyInArrow(run, "a long, b long").distinct()
+    found = dealt.groupBy("bin").cogroup(sent.groupBy("of")).applyInArrow(run, "a long, b long")
+    return found.distinct()
 
 
 def least_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def perhaps_in(docs: DataFrame, ids: DataFrame, within: bool) -> DataFrame:
-    """Rows of docs whose doc_id may be in ids (all that are, few others), or the rest. A bit table of one size for any corpus, so it is broadcast."""
-    word, of, bits_ = unused(docs, "_w", "_b", "_bits")
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    bits = ids.select(F.floor(slot / 64).alias(word), one.alias(of)).groupBy(word).agg(F.bit_or(of).alias(bits_))
-    hit = F.coalesce(F.col(bits_).bitwiseAND(one) != 0, F.lit(False))
-    return docs.withColumn(word, F.floor(slot / 64)).join(F.broadcast(bits), word, "left").filter(hit if within else ~hit).select(*docs.columns)
-
-
 def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without those that are linked to a document of a lesser doc_id. Of rows that repeat doc_id and text one stays (that
     of the least JSON of all columns). Rows without doc_id stay; so do rows of one doc_id with other texts, unless they are linked to a lesser one."""
@@ -403,49 +456,103 @@ def overlaps(marks: np.ndarray, ends: np.ndarray, left: int) -> np.ndarray:
     return out
 
 
+def chunks_of(k, total) -> F.Column:
+    return F.greatest(F.ceil(k / CHUNK), F.ceil(total / CHUNK_SHINGLES), F.lit(1)).cast("int")
+
+
+def differences(texts: DataFrame) -> DataFrame:
+    """node, copies, side, kept (shingles of its group's reference), lost (of these, those it lacks), diff (lost shingles and those
+    it has besides) of texts (node, copies, side, k, chunks, text) of large groups.
+
+    The reference holds what most of some members have (about SAMPLED of them by a hash of the node). Near copies differ from
+    it by little, so that groups are verified by their differences; any reference gives the same result, the better one the fewer bytes.
+    """
+    some = texts.filter(F.pmod(F.xxhash64("node", F.lit("sample")), F.ceil(F.col("k") / SAMPLED)) == 0).select("side", "node", "text")
+
+    def refer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {}
+        for batch in batches:
+            for part in slices(batch):
+                marks, ends = shingle_sets(part.column("text"))
+                sets |= {node: marks[ends[k] : ends[k + 1]].copy() for k, node in enumerate(part.column("node").to_pylist())}
+        values, n = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"side": pa.array([key[0].as_py()], pa.int64()), "reference": [values[2 * n > len(sets)].tobytes()]})
+
+    reference = some.groupBy("side").applyInArrow(refer, "side long, reference binary")
+    texts = texts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
+    owned = texts.select("side", "own").distinct().join(reference, "side").toDF("of", "part", "reference")
+
+    def differ(left: pa.Table, right: pa.Table) -> pa.Table:
+        ref = np.frombuffer(right.column("reference")[0].as_py(), np.uint64) if right.num_rows else np.zeros(0, np.uint64)
+        out = []
+        for batch in left.to_batches():
+            for part in slices(batch):
+                marks, ends = shingle_sets(part.column("text"))
+                same = names(marks, ends) == part.column("node").to_numpy()  # else a row of that doc_id with another text
+                for k in np.flatnonzero(same).tolist():
+                    own = marks[ends[k] : ends[k + 1]]
+                    lost, more = ref[~member(ref, own)[0]], own[~member(own, ref)[0]]
+                    out.append((*(part.column(c)[k].as_py() for c in ("node", "copies", "side")), len(ref), len(lost), np.concatenate([lost, more]).tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        cols = zip(*out, strict=True) if out else [[]] * 6
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["node", "copies", "side", "kept", "lost", "diff"])
+
+    made = texts.groupBy("side", "own").cogroup(owned.groupBy("of", "part")).applyInArrow(differ, "node long, copies long, side long, kept long, lost long, diff binary")
+    return made.dropDuplicates(["node"])
+
+
 def verified(groups: DataFrame, docs: DataFrame, text: str, about: DataFrame) -> tuple[DataFrame, bool]:
     """node, others (rows that it links with, its copies aside), least (the least node that it is connected to) of every task
     that a node is in, and whether some group has several tasks.
 
-    groups: node, side (the candidate group). about: node, doc_id, n, copies. A text goes once to each task that holds it.
+    groups: node, side (the candidate group). about: node, doc_id, n, copies. A text goes once to the one task of a small
+    group; in a large group its difference from the group's reference goes once to each task.
     """
     wanted = groups.join(about, "node")
     sizes = wanted.groupBy("side").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
-    chunks = F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("all") / CHUNK_SHINGLES)).cast("int")
-    wanted = wanted.join(sizes.select("side", chunks.alias("chunks")), "side").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
-    wanted = stored(wanted.select("node", "doc_id", "n", "copies", "side", "chunks", "own"), "wanted")
-    total = wanted.agg(F.sum(F.col("n") * F.col("chunks")).alias("s"), F.max("chunks").alias("c")).first()
-    bins, deep = max(least_parts(docs), (total["s"] or 0) // BIN_SHINGLES), (total["c"] or 1) > 1
+    wanted = stored(wanted.join(sizes, "side").select("node", "doc_id", "copies", "n", "side", "k", chunks_of(F.col("k"), F.col("all")).alias("chunks")), "wanted")
+    total = wanted.agg(F.count("*").alias("k"), F.sum(F.when(F.col("chunks") == 1, F.col("n"))).alias("s"), F.max("chunks").alias("c")).first()
     some = perhaps_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), wanted, True)
-    met = some.join(wanted, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    x, y = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select("node", "copies", F.xxhash64("side", x, y).alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") == F.col("other")).alias("alone"), "text")
-    met = met.withColumn("bin", F.pmod("tile", F.lit(bins)))
+    met = some.join(F.broadcast(wanted) if total["k"] <= BROADCAST_ROWS else wanted, "doc_id")
+    none = [F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("lost"), F.lit(None).cast("binary").alias("diff")]
+    tiles = met.filter("chunks = 1").select("node", "copies", F.xxhash64("side").alias("tile"), F.lit(0).alias("part"), F.lit(True).alias("alone"), "text", *none)
+    size, deep = total["s"] or 0, (total["c"] or 1) > 1
+    if deep:
+        large = stored(differences(met.filter("chunks > 1")), "differences")
+        sizes = large.groupBy("side").agg(F.count("*").alias("k"), F.sum(F.length("diff") / 8).alias("all"))
+        dealt = large.join(sizes, "side").withColumn("chunks", chunks_of(F.col("k"), F.col("all"))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
+        size += int(dealt.agg(F.sum(F.length("diff") / 8 * F.col("chunks")).alias("s")).first()["s"] or 0)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        x, y = F.least("own", "other"), F.greatest("own", "other")
+        dealt = dealt.select("node", "copies", F.xxhash64("side", x, y).alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") == F.col("other")).alias("alone"), F.lit("").alias("text"), "kept", "lost", "diff")
+        tiles = tiles.unionByName(dealt)
+    tiles = tiles.withColumn("bin", F.pmod("tile", F.lit(max(least_parts(docs), size // BIN_SHINGLES))))
 
     def verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles: dict[int, dict] = {}  # sides of each tile: node -> copies, shingles
+        tiles: dict[int, dict] = {}  # sides of each tile: node -> copies, shingles or differences, size, shingles of the reference that it has
         for batch in batches:
             for part in slices(batch):
                 marks, ends = shingle_sets(part.column("text"))
-                same = names(marks, ends) == part.column("node").to_numpy()  # else a row of that doc_id with another text
-                for k, (node, copies, tile, side, alone) in enumerate(zip(*(part.column(c).to_pylist() for c in ("node", "copies", "tile", "part", "alone")), strict=True)):
-                    if same[k]:
-                        tiles.setdefault(tile, {"alone": alone, 0: {}, 1: {}})[side][node] = copies, marks[ends[k] : ends[k + 1]].copy()
+                name = names(marks, ends)
+                for k, (node, copies, tile, side, alone, kept, lost, diff) in enumerate(zip(*(part.column(c).to_pylist() for c in ("node", "copies", "tile", "part", "alone", "kept", "lost", "diff")), strict=True)):
+                    if diff is None and name[k] != node:  # a row of that doc_id with another text
+                        continue
+                    own = marks[ends[k] : ends[k + 1]].copy() if diff is None else np.frombuffer(diff, np.uint64)
+                    tiles.setdefault(tile, {"alone": alone, "kept": kept, 0: {}, 1: {}})[side][node] = copies, own, kept - lost + len(own) - lost, lost
         for tile in tiles.values():
+            left = len(tile[0])
             ids = np.array([*tile[0], *tile[1]], np.int64)
-            copies, sets = zip(*tile[0].values(), *tile[1].values(), strict=True)
-            copies, n = np.array(copies, np.int64), np.array([len(s) for s in sets])
-            m, left = len(ids), len(tile[0])
+            copies, sets, n, lost = zip(*tile[0].values(), *tile[1].values(), strict=True)
+            copies, n, lost, m = np.array(copies, np.int64), np.array(n), np.array(lost), len(ids)
             if not tile["alone"] and left in (0, m):
                 continue
+            from_ = 0 if tile["alone"] else left
+            both = overlaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), m - from_ if not from_ else left)
+            both = both + tile["kept"] - lost[: len(both), None] - lost[from_:]  # shingles of the reference that neither lacks, and others that both have
             link = np.zeros((m, m), bool)
-            got = overlaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]), m if tile["alone"] else left)
-            if tile["alone"]:
-                link = enough(got, n[:, None] + n)
-                np.fill_diagonal(link, False)
-            else:
-                link[:left, left:] = enough(got, n[:left, None] + n[left:])
-                link |= link.T
+            link[: len(both), from_:] = enough(both, n[: len(both), None] + n[from_:])
+            np.fill_diagonal(link, False)
+            link |= link.T
             order = np.argsort(ids)
             rank = np.argsort(order)
             a, b = np.nonzero(np.triu(link))
@@ -453,8 +560,9 @@ def verified(groups: DataFrame, docs: DataFrame, text: str, about: DataFrame) ->
             yield pa.RecordBatch.from_pydict({"node": ids, "others": link @ copies, "least": ids[order][label[rank]]})
         settled()
 
-    out = stored(met.groupBy("bin").applyInArrow(verify, "node long, others long, least long"), "verified")
-    discard(wanted)
+    out = stored(tiles.groupBy("bin").applyInArrow(verify, "node long, others long, least long"), "verified")
+    for x in [wanted, large] if deep else [wanted]:
+        discard(x)
     freed(docs.sparkSession)
     return out, deep
 
