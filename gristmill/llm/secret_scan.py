@@ -7,11 +7,13 @@ hexadecimal digits, which no keyword announces, are found by a byte search.
 Formats that carry a checksum or a checkable structure are taken if it holds:
 
     github, npm   prefix and 36 characters, the last six the CRC-32 of the others in base 62
-    jwt           three base64url parts, the first a JSON object that names `alg`
+    jwt           three base64url parts, the first (of 11 to 8,192 characters) a JSON object that names `alg`
     pem           a private-key block whose base64 is one DER sequence of the length it says
 
 Spans are half-open and count code points. Null texts count as empty and have
-none; ties and repeated rows are scanned each; an empty table gives no rows.
+none; ties and repeated rows are scanned each; an empty table gives no rows;
+very long texts are scanned whole, in time in proportion to their length. Other
+columns pass through; one named like an added column (`secrets`) is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
+URL64 = re.compile(r"[A-Za-z0-9_-]+")
+JWT_REST = re.compile(r"\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
+#: Characters of a header at most, and 11 at least: what is longer is no token.
+HEADER = 8192
 PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -64,10 +69,14 @@ def base62(n: int) -> str:
     return out
 
 
-def _jwt(m: re.Match) -> bool:
+def _header(part: str) -> bool:
+    """Whether a base64url part is a JSON object that names `alg`. Its end is looked at first, so that most others cost little."""
+    pad = "=" * (-len(part) % 4)
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, TypeError):
+        if len(part) > HEADER or base64.urlsafe_b64decode(part[-4 - len(part) % 4 :] + pad).rstrip()[-1:] != b"}":
+            return False
+        return "alg" in json.loads(base64.urlsafe_b64decode(part + pad))
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -88,7 +97,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     ends = dict.fromkeys(("assign", "access", "checked", "jwt", "pem"), 0)
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in automaton().iter(raw.lower().decode("latin-1")))
-    byte = point = 0
+    byte = point = run = 0
+    rest = None  # what follows the run of base64url characters that ends at `run`, if it can follow a header
     for start, kind in hits:
         if len(raw) == len(text):
             at = start
@@ -108,7 +118,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         elif kind == "checked" and (m := CHECKED.match(text, at)) and base62(zlib.crc32(m[1].encode())) == m[2]:
             ends[kind] = m.end()
             found.append((at, m.end(), "npm" if text.startswith("npm", at) else "github"))
-        elif kind == "jwt" and (m := JWT.match(text, at)) and _jwt(m) or kind == "pem" and (m := PEM.match(text, at)) and _der(m):
+        elif kind == "jwt" and text.startswith("eyJ", at):
+            if at >= run:  # a run is read once, however many hits it holds
+                run = URL64.match(text, at).end()
+                rest = JWT_REST.match(text, run)
+            if rest and run - at >= 11 and _header(text[at:run] if run - at <= HEADER else text[run - HEADER - 1 : run]):
+                ends[kind] = rest.end()
+                found.append((at, rest.end(), kind))
+        elif kind == "pem" and (m := PEM.match(text, at)) and _der(m):
             ends[kind] = m.end()
             found.append((at, m.end(), kind))
     if raw.translate(_AS_HEX).find(b"h" * 24) >= 0:
@@ -139,7 +156,8 @@ def redact(text: str) -> str:
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
-    """docs with secrets replaced in `text`, and the new length in code points in `length`. Null stays null."""
+    """docs with secrets replaced in `text`, and the new length in code points in the column `length`, if it has one. Null stays null."""
+    length = length if length in docs.columns else None
 
     def fn(part: pa.RecordBatch) -> dict:
         new = [None if x is None else redact(x) for x in part.column(text).to_pylist()]
