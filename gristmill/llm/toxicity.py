@@ -18,13 +18,16 @@ doc_id); scoring covers every document and every word.
 Null texts count as empty. Empty texts score as a text without toxic passages.
 Without labels of both kinds the score is the share of toxic labels (0 if
 there are none). A document with several labels is toxic if one of them says
-so; rows of one doc_id are scored each. Other columns pass through.
+so; rows of one doc_id are scored each; very long texts are scored whole, in
+time in proportion to their length; an empty table gives no rows. Other columns
+pass through; those named like an added column (score, predicted,
+toxic_passages) are replaced by scored(), and kept by clean().
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, LOWER, Words, add_columns, member, mixed, place_keys, slices
+from ._common import ALNUM, LOWER, Words, add_columns, member, mixed, place_keys, settled, slices, stored, where
 
 #: The bound of labelled documents that the fit takes.
 SAMPLE = 30_000
@@ -66,20 +69,23 @@ def features(words: Words) -> list[np.ndarray]:
 
 def segments(at: np.ndarray, gain: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first word, end word, score); `at`: places of the words that gain, in order."""
-    held: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum at the end
+    # first, end, sum before, sum at the end, and the last segment held before that starts from a lower sum (Ruzzo and Tompa's link)
+    held: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
     for p, g in zip(at.tolist(), gain.tolist(), strict=True):
         before = total + cost * (p - last)
         total, last = before + g, p + 1
-        first, left = p, before
+        first, left, k = p, before, len(held) - 1
         while True:
-            k = next((j for j in range(len(held) - 1, -1, -1) if held[j][2] < left), None)
-            if k is None or held[k][3] >= total:
-                held.append((first, p + 1, left, total))
+            while k >= 0 and held[k][2] >= left:
+                k = held[k][4]
+            if k < 0 or held[k][3] >= total:
+                held.append((first, p + 1, left, total, k))
                 break
-            first, left = held[k][0], held[k][2]
+            first, _, left, _, link = held[k]
             del held[k:]
-    return [(a, b, high - low) for a, b, low, high in held]
+            k = link
+    return [(a, b, high - low) for a, b, low, high, _ in held]
 
 
 def word_gains(words: Words, model: Model) -> np.ndarray:
@@ -127,6 +133,7 @@ def fit(train: DataFrame, text: str = "text", label: str = "toxic") -> Model:
                 ends = np.append(at[1:], len(pairs))
                 in_toxic = is_toxic[ends] - is_toxic[at]
                 yield pa.RecordBatch.from_pydict({"token": values.view(np.int64), "t": in_toxic.astype(np.int64), "c": (ends - at - in_toxic).astype(np.int64)})
+        settled()
 
     model = Model()
     sizes = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -172,10 +179,11 @@ def fit(train: DataFrame, text: str = "text", label: str = "toxic") -> Model:
                 x, _ = surprises(Words(part.column(text), ALNUM), model)
                 yield pa.RecordBatch.from_pydict({"x": x, "y": part.column(label).cast(pa.int64())})
 
-    # one row for each value of the surprise in steps of 1/8 at most: the curve needs no more
+    # one row for each step of the surprise, of 1/8 up to 64 and of a sixteenth of an octave beyond: the curve needs no more
     scored = train.select(text, label).mapInArrow(rate, "x double, y long")
-    table = scored.groupBy(F.least(F.floor(F.col("x") * 8), F.lit(4000)).alias("x")).agg(F.sum("y").alias("t"), F.count("*").alias("n")).toPandas().astype(float)
-    x, t, n = np.minimum(table["x"].to_numpy() / 8, 40.0), table["t"].to_numpy(), table["n"].to_numpy()
+    step = F.when(F.col("x") < 64, F.floor(F.col("x") * 8) / 8).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("x") * 16) / 16))
+    table = scored.groupBy(step.alias("x")).agg(F.sum("y").alias("t"), F.count("*").alias("n")).toPandas().astype(float)
+    x, t, n = table["x"].to_numpy(), table["t"].to_numpy(), table["n"].to_numpy()
     a, b = math.log((t.sum() + 1) / (n.sum() - t.sum() + 1)), 0.1
     for _ in range(100):  # Newton's steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
@@ -193,21 +201,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text, toxic of at most `sample` labelled documents that aren't held out."""
+    """text, toxic of at most `sample` labelled documents that aren't held out, written once: the fit reads them several times."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(own), "doc_id").select("text", "toxic"), "training")
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3, passages: bool = True) -> DataFrame:
-    """docs (or its columns `keep`) with score, predicted and (on wish) toxic_passages in words of ASCII letters, digits and all beyond ASCII."""
+def _scores(docs: DataFrame, model: Model, text: str, threshold: float, passages: bool) -> Callable[[pa.RecordBatch], dict]:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = "score double, predicted int" + ", toxic_passages array<struct<first:int,end:int,score:double>>" * passages
 
     def fn(part: pa.RecordBatch) -> dict:
         m = shared.value
         x, found = surprises(Words(part.column(text), ALNUM), m)
-        score = 1 / (1 + np.exp(-np.clip(m.a + m.b * np.minimum(x, 40.0), -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(m.a + m.b * x, -30, 30)))
         return {"score": score, "predicted": (score >= threshold).astype(np.int32), "toxic_passages": [[{"first": a, "end": b, "score": s} for a, b, s in y] for y in found] if passages else None}
 
-    return add_columns(docs, fn, added, text, keep)
+    return fn
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3, passages: bool = True) -> DataFrame:
+    """docs (or its columns `keep`) with score, predicted and (on wish) toxic_passages in words of ASCII letters, digits and all beyond ASCII."""
+    added = "score double, predicted int" + ", toxic_passages array<struct<first:int,end:int,score:double>>" * passages
+    return add_columns(docs, _scores(docs, model, text, threshold, passages), added, text, keep)
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score stays below the threshold, all columns as they are."""
+    fn = _scores(docs, model, text, threshold, False)
+    return where(docs, lambda part: fn(part)["predicted"] == 0, text)
