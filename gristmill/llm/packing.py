@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, stored
+from ._common import settled, slices, stored
 from .tokens import AT_ONCE, END, encoder, ids_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
@@ -92,6 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int | None = END
                     cols = list(zip(*rows, strict=True))
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PIECE.split(", ")])
+        settled()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
 

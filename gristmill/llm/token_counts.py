@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, stored
+from ._common import settled, slices, stored
 from .tokens import AT_ONCE, encoder
 
 #: Lengths in one block of the suffix sums: each block is summed in a task of its own.
@@ -36,6 +36,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", extra:
                     n = len(ids) // 4 + extra
                     found[n] = found.get(n, 0) + 1
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(found.keys(), pa.int64()), "n_docs": pa.array(found.values(), pa.int64())})
+        settled()
 
     return docs.select(text).mapInArrow(count, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
@@ -72,9 +73,3 @@ def at_limit(limits: DataFrame, limit: int) -> DataFrame:
 def quantile(limits: DataFrame, q: float) -> DataFrame:
     """n_tokens: the smallest length that a share q of the documents doesn't exceed."""
     return limits.filter(F.col("quantile") >= q).agg(F.min("n_tokens").alias("n_tokens"))
-
-
-def brute(lengths: list[int]) -> dict[int, tuple]:
-    """context_limits() from a list, for tests."""
-    x = np.array(lengths, np.int64)
-    return {int(n): (int((x == n).sum()), int((x > n).sum()), int(x[x <= n].sum()), int(x.sum()), int(np.minimum(x, n).sum()), float((x <= n).mean())) for n in np.unique(x)}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch_path, slices
+from ._common import scratch_path, settled, slices
 from .tokens import AT_ONCE, END, encoder
 
 BLOCK_IDS = 1 << 18
@@ -88,6 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
                         yield flush()
         if held:
             yield flush()
+        settled()
 
     (docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
         .mapInArrow(blocks, FILE_SCHEMA).write.option("compression", "zstd").parquet(path))

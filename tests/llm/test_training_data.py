@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -136,7 +137,7 @@ def test_large_groups_in_pieces_and_chunks(spark, monkeypatch, small):
     given = near_group(r, 160) + near_group(r, 1) * 70 + [t for _ in range(20) for t in near_group(r, 2, 40, 4)]
     rows = [(1000 - k, t, 1, 0.5) for k, t in enumerate(given)]
     if small:
-        for name, value in (("PIECE", 7), ("CHUNK", 9), ("HOT", 20), ("BIN_ROWS", 50), ("BIN_SHINGLES", 500), ("COUNTERS", 1 << 12)):
+        for name, value in (("PIECE", 7), ("CHUNK", 9), ("SAMPLED", 5), ("HOT", 20), ("BIN_BYTES", 3000), ("BIN_SHINGLES", 500), ("COUNTERS", 1 << 12)):
             monkeypatch.setattr(ngram_join, name, value)
     sets = [shingles(t) for t in given]
     linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
@@ -151,7 +152,7 @@ def test_forest_finds_all_pairs(seed):
     r = np.random.default_rng(seed)
     points = (np.repeat(r.integers(0, 9, (80, ngram_join.GROUPS)), 5, 0) + (r.random((400, ngram_join.GROUPS)) < 0.1)).astype(np.uint8)
     points = points[r.permutation(400)]
-    points[r.integers(0, 400, 30), r.integers(0, 256, 30)] = 255
+    points[r.integers(0, 400, 30), r.integers(0, ngram_join.GROUPS, 30)] = 255
     n = points.sum(1, dtype=np.int64)
     tree = np.sort(r.integers(0, 7, 400))
     f = ngram_join.Forest(points, n, tree)
@@ -165,6 +166,28 @@ def test_forest_finds_all_pairs(seed):
     assert got == want and any(tree[a] != tree[b] for a, b in want)
 
 
+def test_tiles_find_all_that_the_bound_leaves():
+    """Documents of sizes around powers of two, in whole tiles and in tiles of two sides: as connected as by all pairs of points."""
+    r = random.Random(17)
+    given = [x for n in (60, 63, 66, 120, 140, 250, 270) for _ in range(3) for x in near_group(r, 6, n, 14)] + [" ".join(f"q{r.randrange(40)}" for _ in range(70)) for _ in range(20)]
+    marks, ends = ngram_join.shingle_sets(pa.array(given))
+    n = np.diff(ends)
+    points = []
+    for k, b in enumerate(ngram_join.group_bits(n).tolist()):
+        points.append(ngram_join.nibbles(np.bincount((marks[ends[k] : ends[k + 1]] >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b)).tobytes())
+    assert len({len(x) for x in points}) > 2
+    sets = [set(marks[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+    tile, side, node = np.zeros(len(n), np.int64), np.array([r.randrange(2) for _ in n]), np.arange(len(n))
+    for sides, meet in ((np.zeros(len(n), np.int64), lambda i, j: True), (side, lambda i, j: side[i] != side[j])):
+        ids, least = ngram_join.tile_groups(tile, sides, node, n, points)
+        label = dict(zip(ids.tolist(), least.tolist()))
+        for i in range(len(n)):
+            for j in range(i):
+                if meet(i, j) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    assert label.get(i, i) == label.get(j, j)
+        assert len(set(label.get(i, i) for i in range(len(n)))) > 20
+
+
 def test_overlaps():
     r = random.Random(3)
     sets = [np.array(sorted(r.sample(range(60), r.randrange(60))), np.uint64) for _ in range(25)]
@@ -227,7 +250,8 @@ def test_token_counts(spark, docs, rows, coder):
     lengths = [len(coder.whole(x[1] or "")) // 4 for x in rows]
     limits = token_counts.context_limits(token_counts.length_histogram(docs, default_path()))
     got = {r["n_tokens"]: (r["n_docs"], r["docs_over"], r["tokens_up_to"], r["total_tokens"], r["truncated_total"], r["quantile"]) for r in limits.collect()}
-    want = token_counts.brute(lengths)
+    x = np.array(lengths, np.int64)
+    want = {int(n): (int((x == n).sum()), int((x > n).sum()), int(x[x <= n].sum()), int(x.sum()), int(np.minimum(x, n).sum()), float((x <= n).mean())) for n in np.unique(x)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     for limit in (0, 50, 10**6):
         r = token_counts.at_limit(limits, limit).first()
@@ -365,6 +389,12 @@ def test_decontamination(spark, docs, rows):
     out = decontam.contamination(docs, table)
     assert sorted([(x["doc_id"], x["n_words"], x["n_hit"], x["hit_items"], x["contaminated"]) for x in out.collect()], key=str) == sorted(want, key=str)
     assert out.columns == ["doc_id", "text", "Score", "n_words", "n_hit", "hit_items", "contaminated"]
+    joined = decontam.contamination(docs, table, index_bytes=0)  # by a join of fingerprints
+    assert sorted([(x["doc_id"], x["n_words"], x["n_hit"], x["hit_items"], x["contaminated"]) for x in joined.collect()], key=str) == sorted(want, key=str)
+    assert joined.columns == out.columns
+    for limit in (0, decontam.INDEX_BYTES):
+        kept = decontam.clean(docs, table, index_bytes=limit)
+        assert kept.columns == docs.columns and sorted([x["doc_id"] for x in kept.collect()], key=str) == sorted([x[0] for x in want if not x[4]], key=str)
     decontam_blocks = list(decontam.item_blocks(table, 40))
     assert len(decontam_blocks) > 3
     assert decontam.contamination(docs, table.limit(0)).filter("n_hit > 0").count() == decontam.contamination(empty(spark), table).count() == 0
@@ -409,6 +439,13 @@ def test_secrets(spark, docs):
     pem = f"-----BEGIN PRIVATE KEY-----\n{base64.b64encode(bytes([0x30, 3, 1, 2, 3])).decode()}\n-----END PRIVATE KEY-----"
     assert [x[2] for x in secret_scan.scan(f"é {token} {token[:-1]}z {jwt} {pem}")] == ["github", "jwt", "pem"]
     assert secret_scan.redact(f"a {token} b") == "a [github] b"
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000 + b"]" * 100_000 + b"}").decode()
+    short = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 2500 + b"]" * 2500 + b"}").decode().rstrip("=")  # as deep as a header can be
+    assert secret_scan.scan(f"{deep}.eyJzdWIi.{'s' * 20}") == []
+    assert [x[2] for x in secret_scan.scan(f"{short}.eyJzdWIi.{'s' * 20}")] in ([], ["jwt"])
+    began = time.time()
+    assert secret_scan.scan("eyJ" * 200_000 + ".eyJab." + "s" * 20) == [] and time.time() - began < 5
+    assert [x[2] for x in secret_scan.scan("eyJeyJ" + jwt)] in ([], ["jwt"])
     out = secret_scan.redacted(docs.withColumn("n_chars", docs.doc_id), length="n_chars")
     assert out.count() == docs.count() and out.filter("n_chars != length(text)").count() == 0
     assert secret_scan.secret_spans(empty(spark)).count() == 0
@@ -442,6 +479,13 @@ def test_segments_are_maximal():
         assert got == pytest.approx(brute_segments(at, gain, -0.6))
 
 
+def test_segments_take_linear_time():
+    n = 200_000
+    began = time.time()
+    assert len(toxicity.segments(np.arange(n) * 3, np.ones(n), -0.6)) == n
+    assert len(toxicity.segments(np.arange(n) * 3, np.linspace(1, 1.1, n), -0.6)) > 0 and time.time() - began < 10
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     plain, bad = [f"word{i}" for i in range(300)], ["vileone", "vileish", "grubby", "nastyx"]
