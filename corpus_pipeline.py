@@ -19,28 +19,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go. Null and empty texts score as texts without toxic passages and stay;
+    rows of one doc_id are judged each; without labels all rows stay; an empty table gives no rows; other columns, of any name, stay as they are."""
     model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
-    return toxicity.scored(docs, model, passages=False).filter("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the least doc_id stays."""
+    """Of each group of linked documents the one of the least doc_id stays. Texts without words link with nothing and stay; so do
+    rows without doc_id; of rows that repeat doc_id and text one stays; an empty table gives no rows; other columns, of any name, stay as they are."""
     return ngram_join.representatives(docs).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return decontam.contamination(docs, _table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    """Contaminated documents go. Null and empty texts have no words and stay; repeated rows are judged each; an empty
+    benchmark lets all rows stay; an empty table gives no rows; other columns, of any name, stay as they are."""
+    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; every document stays."""
+    """Secrets are replaced by their kind, and n_chars follows; every row stays, null texts as null; an empty table gives no
+    rows; other columns, of any name, stay as they are."""
     return secret_scan.redacted(docs, length="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 tokens."""
+    """Pieces of all documents in sequences of 1024 tokens. Null and empty texts are a piece of one id; repeated rows are pieces
+    of their own; an empty table gives no rows; columns but doc_id and text are not read."""
     return packing.pack(docs, default_path())
 
 

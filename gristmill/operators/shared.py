@@ -14,6 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not folder:
             atexit.register(shutil.rmtree, folder := tempfile.mkdtemp(prefix="gristmill-"), True)
         context.setCheckpointDir(folder)
