@@ -364,6 +364,14 @@ def test_pii(spark, rows):
     out = pii.personal_data(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")).collect()
     spans = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in out}
     assert spans[8] == [("phone", known[8].index("0800"), known[8].index(" today"))] and spans[9] == []
+    # contexts on the right and on both sides, words without digits, of any length, far into a text
+    names = ["jane(at)example", "x" * 300 + "(at)y", "(bob.at.z)"]
+    known = ["lorem " * 3000 + f"user{k}@mail.org is my mail" for k in range(6)] + [f"{'ipsum ' * 500}{x} is my mail" for x in names] + ["is my mail here"]
+    out = pii.personal_data(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")).collect()
+    for x in out:
+        want = {"jane(at)example", "x" * 300 + "(at)y", "bob.at.z"} if 6 <= x["doc_id"] < 9 else set()
+        more = [known[x["doc_id"]][b["start"] : b["end"]] for b in x["spans"] if b not in x["base"]]
+        assert set(more) <= want and len(more) == (6 <= x["doc_id"] < 9)
     assert pii.personal_data(empty(spark)).count() == 0
 
 
