@@ -87,8 +87,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """1 for equal normalised hashes or equal token texts, else the weighted sum of three Jaccard indexes."""
+    return F.when((a["hash"] == b["hash"]) | (a["joined"] == b["joined"]), 1.0).otherwise(weighted(a, b))
+
+
+def weighted(a: dict[str, Column], b: dict[str, Column]) -> Column:
     parts = [F.lit(w) * jaccard(a[k], b[k]) for w, k in zip(WEIGHTS, ("tokens", "bigrams", "trigrams"), strict=True)]
-    return F.when((a["hash"] == b["hash"]) | (a["joined"] == b["joined"]), 1.0).otherwise(parts[0] + parts[1] + parts[2])
+    return parts[0] + parts[1] + parts[2]
 
 
 def slug(x: Column) -> Column:
