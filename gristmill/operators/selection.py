@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rank_key, stable_draw
+from .shared import cut
 
 
 def ratio_split(cluster: Column, seed: int, ratios: dict[str, float]) -> Column:
@@ -53,3 +54,62 @@ def one_per_group(rows: DataFrame, group: str, seed: int, salt: str) -> DataFram
     cols = [c for c in rows.columns if c != group]
     best = rows.groupBy(group).agg(F.min_by(F.struct(*cols), F.struct(rank_key(seed, salt, F.col("id")), F.col("id"))).alias("_r"))
     return best.select(group, "_r.*")
+
+
+def take_ranked(rows: DataFrame, k: int, seed: int, salt: str, key: str) -> DataFrame:
+    """The k rows of least rank hash, with it."""
+    return rows.withColumn("rank", rank_key(seed, salt, F.col(key).cast("string"))).orderBy("rank", key).limit(k)
+
+
+def numbered(rows: DataFrame, part: str, seed: int, salt: str, key: str) -> DataFrame:
+    """rows with ordinal: place from 1 within its part, in rank order."""
+    w = Window.partitionBy(part).orderBy(rank_key(seed, salt, F.col(key).cast("string")), key)
+    return rows.withColumn("ordinal", F.row_number().over(w).cast("long"))
+
+
+def first_in_cells(rows: DataFrame, cell: list[str], capacity: int, seed: int, salt: str, key: str) -> DataFrame:
+    """Of each cell the first `capacity` rows in rank order, with nth. A window group limit keeps a hot cell to its first rows in each task."""
+    w = Window.partitionBy(*cell).orderBy(rank_key(seed, salt, F.col(key).cast("string")), key)
+    return rows.withColumn("nth", F.row_number().over(w).cast("long")).filter(F.col("nth") <= capacity)
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows with place: row number from 1 in a global order. Ranges are numbered apart and begin after the counts of those before, so no task sees all rows."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    # one written copy: ranges are sampled anew in each run of a plan, and counts and rows have to agree
+    ranged = cut(rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    sums = sums.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # a row a range
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    return ranged.join(F.broadcast(sums), "_range").withColumn("place", (F.col("_before") + inner).cast("long")).drop(*keys, "_range", "_before")
+
+
+def positions(rows: DataFrame, seed: int, salt: str, key: str) -> DataFrame:
+    """rows with rn: place from 1 in rank order."""
+    return placed(rows, rank_key(seed, salt, F.col(key).cast("string")), F.col(key)).withColumnRenamed("place", "rn")
+
+
+def interleave(rows: DataFrame, side: str, seed: int, salt: str, key: str) -> DataFrame:
+    """rows with place: ranked within each side, the sides alternate."""
+    return placed(numbered(rows, side, seed, salt, key), F.col("ordinal"), F.col(side)).drop("ordinal")
+
+
+def rotate(rows: DataFrame, by: int, seed: int, salt: str, key: str) -> DataFrame:
+    """rows with place from 0: the ranked list with its first `by` at the end."""
+    n = F.count("*").over(Window.partitionBy())
+    return positions(rows, seed, salt, key).withColumn("place", F.pmod(F.col("rn") - 1 - by, n)).drop("rn")
+
+
+def at_ranks(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """q, value: the element at index round((n - 1) q), halves to even, of the sorted values. Equal values are one row in the running count."""
+    by = rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("k"))
+    total = by.agg(F.sum("k").alias("n"))
+    upto = by.select("value", "k", F.sum("k").over(Window.orderBy("value")).alias("upto"))
+    asked = total.select("n", F.explode(F.array(*[F.lit(float(q)) for q in shares])).alias("q")).select("q", F.bround((F.col("n") - 1) * F.col("q"), 0).cast("long").alias("at"))
+    return upto.join(F.broadcast(asked), (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("k"))).select("q", "value")
+
+
+def exact_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """group, a, b, x, y: the two rows of each group of exactly two, the lesser key first."""
+    two = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(F.struct(key, F.struct(*rows.columns).alias("r"))).alias("p"), F.max(F.struct(key, F.struct(*rows.columns).alias("r"))).alias("q")).filter("n = 2")
+    return two.select(group, F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b"), F.col("p.r").alias("x"), F.col("q.r").alias("y"))
