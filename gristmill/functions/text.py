@@ -160,3 +160,50 @@ def head_tail(x: Column, limit: int, ratio: float) -> Column:
     head = max(1, int(limit * ratio))
     cut = F.concat(F.slice(x, 1, head), F.slice(x, F.greatest(F.size(x) - (limit - head) + 1, F.lit(1)), limit - head) if limit > head else F.slice(x, 1, 0))
     return F.when(F.size(x) > limit, cut).otherwise(x)
+
+
+def first_present(*fields: Column, fallback: Column | None = None) -> Column:
+    """The first field that isn't null or empty, else the fallback."""
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in fields], *([] if fallback is None else [fallback]))
+
+
+def canonical_id(prefix: str, name: Column, parts: dict[str, Column]) -> Column:
+    """prefix, slug of the name, and 24 hexadecimal digits of SHA-256 of the parts' canonical JSON (keys in order, nulls kept)."""
+    body = F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"})
+    return F.concat_ws("_", F.lit(prefix), slug(name), F.substring(F.sha2(body, 256), 1, 24))
+
+
+def cluster_id(representative: Column) -> Column:
+    return F.concat(F.lit("semantic_"), F.substring(F.sha2(representative, 256), 1, 24))
+
+
+def contained(spans: Column, within: Column) -> Column:
+    """The spans that lie inside one of `within`."""
+    return F.filter(spans, lambda s: F.exists(within, lambda w: (w["start"] <= s["start"]) & (s["end"] <= w["end"])))
+
+
+def quoted(text: Column, start: Column, end: Column, opening: str, closing: str) -> Column:
+    """Whether the last character before a span and the first after it, spaces aside, are a pair of quotes or brackets."""
+    left = F.right(F.rtrim(F.substr(text, F.lit(1), F.greatest(start, F.lit(0)))), F.lit(1))
+    right = F.left(F.ltrim(F.substr(text, end + 1)), F.lit(1))
+    at = lambda marks, c: F.call_function("locate", c, F.lit(marks))
+    return (left != "") & (right != "") & (at(opening, left) > 0) & (at(opening, left) == at(closing, right))
+
+
+def leaks(text: Column, words: list[str]) -> Column:
+    """Whether a text says one of the labels or field names, in any case."""
+    return text.rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+
+
+def cell(x: Column) -> Column:
+    """A cell of a markdown table."""
+    return F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def percent(n: Column, total: Column) -> Column:
+    return F.format_string("%.2f%%", F.when(total == 0, 0.0).otherwise(100.0 * n / total))
+
+
+def sections(parts: dict[str, Column], missing: str = "[MISSING]") -> Column:
+    """Tagged blocks, one after another."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"<{k}>\n"), F.coalesce(v, F.lit(missing)), F.lit(f"\n</{k}>")) for k, v in parts.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -69,8 +69,12 @@ def clusters(feats: DataFrame, threshold: float, variant: float, group: Column |
     chosen one are out.
     """
     feats = feats.withColumn("_g", group if group is not None else F.lit(None).cast("string"))
-    by_g, by_h = Window.partitionBy("_g"), Window.partitionBy("hash")
-    points = feats.select("*", F.when(F.col("_g").isNotNull(), F.min("id").over(by_g)).alias("g1"), F.min("id").over(by_h).alias("h1"))
+    # least ids by key are aggregated from narrow rows; records without a group key, which may be nearly all, meet no key
+    narrow = feats.select("id", "_g", "hash")
+    grouped = narrow.filter("_g is not null")
+    firsts = grouped.join(grouped.groupBy("_g").agg(F.min("id").alias("g1")), "_g").select("id", "g1")
+    same = narrow.join(narrow.groupBy("hash").agg(F.min("id").alias("h1")), "hash").select("id", "h1")
+    points = feats.join(same, "id").join(firsts, "id", "left")
     points = points.withColumn("to", F.when(F.col("g1") < F.col("id"), F.col("g1")).when(F.col("h1") < F.col("id"), F.col("h1"))).withColumn("kind", F.when(F.col("g1") < F.col("id"), "g").when(F.col("h1") < F.col("id"), "h"))
     points = cut(points)
     free = points.filter("to is null")
@@ -115,3 +119,10 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "component")
         if not changed:
             return label
+
+
+def closure(links: DataFrame, start: Column) -> DataFrame:
+    """node: those that rows (node, key) connect to a row for which `start` holds."""
+    parts = components(links)
+    began = links.filter(start).select("node").distinct().join(parts, "node").select("component").distinct()
+    return parts.join(began, "component", "left_semi").select("node")

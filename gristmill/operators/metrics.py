@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .selection import running
+
 
 def confusion(rows: DataFrame, labels: list) -> DataFrame:
     """truth, pred, n over the whole vocabulary (0 where there are no rows)."""
@@ -23,10 +25,9 @@ def per_class(conf: DataFrame) -> DataFrame:
 
 
 def curve(rows: DataFrame) -> DataFrame:
-    """score, tp, fp at or above each distinct score. Counts by score are combined before the running sum, which has a row a distinct score."""
+    """score, tp, fp at or above each distinct score. Counts by score are combined before the running sums, which run within ranges of scores."""
     by = rows.groupBy("score").agg(F.sum("truth").alias("t"), F.count("*").alias("k"))
-    w = Window.orderBy(F.desc("score"))
-    return by.select("score", F.sum("t").over(w).alias("tp"), (F.sum("k").over(w) - F.sum("t").over(w)).alias("fp"), "t", (F.col("k") - F.col("t")).alias("f"))
+    return running(by, -F.col("score"), {"tp": "t", "all": "k"}).select("score", "tp", (F.col("all") - F.col("tp")).alias("fp"), "t", (F.col("k") - F.col("t")).alias("f"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:

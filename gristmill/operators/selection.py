@@ -73,15 +73,23 @@ def first_in_cells(rows: DataFrame, cell: list[str], capacity: int, seed: int, s
     return rows.withColumn("nth", F.row_number().over(w).cast("long")).filter(F.col("nth") <= capacity)
 
 
-def placed(rows: DataFrame, *order) -> DataFrame:
-    """rows with place: row number from 1 in a global order. Ranges are numbered apart and begin after the counts of those before, so no task sees all rows."""
+def running(rows: DataFrame, order: Column | list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with running sums (new column: summed column) in a global order of unlike keys. Ranges are summed apart and begin after
+    the totals of those before, so no task sees all rows."""
+    order = order if isinstance(order, list) else [order]
     keys = [f"_k{i}" for i in range(len(order))]
-    # one written copy: ranges are sampled anew in each run of a plan, and counts and rows have to agree
+    # one written copy: ranges are sampled anew in each run of a plan, and totals and rows have to agree
     ranged = cut(rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
-    sums = ranged.groupBy("_range").agg(F.count("*").alias("n"))
-    sums = sums.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # a row a range
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return ranged.join(F.broadcast(sums), "_range").withColumn("place", (F.col("_before") + inner).cast("long")).drop(*keys, "_range", "_before")
+    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_t{n}") for n, v in sums.items()])
+    before = [(F.sum(f"_t{n}").over(Window.orderBy("_range")) - F.col(f"_t{n}")).alias(f"_b{n}") for n in sums]  # a row a range
+    inner = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(totals.select("_range", *before)), "_range")
+    return out.withColumns({n: F.col(f"_b{n}") + F.sum(v).over(inner) for n, v in sums.items()}).drop(*keys, "_range", *[f"_b{n}" for n in sums])
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows with place: row number from 1 in a global order."""
+    return running(rows.withColumn("_one", F.lit(1)), list(order), {"place": "_one"}).withColumn("place", F.col("place").cast("long")).drop("_one")
 
 
 def positions(rows: DataFrame, seed: int, salt: str, key: str) -> DataFrame:
@@ -113,3 +121,33 @@ def exact_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
     """group, a, b, x, y: the two rows of each group of exactly two, the lesser key first."""
     two = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(F.struct(key, F.struct(*rows.columns).alias("r"))).alias("p"), F.max(F.struct(key, F.struct(*rows.columns).alias("r"))).alias("q")).filter("n = 2")
     return two.select(group, F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b"), F.col("p.r").alias("x"), F.col("q.r").alias("y"))
+
+
+def staged_splits(groups: DataFrame, seed: int, stages: list[tuple[str, str, float, int | None]], rest: str) -> DataFrame:
+    """groups (group, size, split or null) with every split set: each stage (salt, split, ratio, total) takes open groups in rank
+    order until its target is reached. The target is ratio times the total (of open groups if None), halves to even, one at least."""
+    out = cut(groups)
+    for salt, name, ratio, total in stages:
+        open_ = out.filter("split is null")
+        n = total if total is not None else open_.agg(F.sum("size")).first()[0] or 0
+        target = max(1, round(ratio * n)) if ratio > 0 else 0
+        taken = take_to_target(open_.select("group", "size"), F.lit(target), seed, salt).filter("taken").select("group", F.lit(name).alias("_s"))
+        out = cut(out.join(taken, "group", "left").withColumn("split", F.coalesce("split", "_s")).drop("_s"))
+    return out.withColumn("split", F.coalesce("split", F.lit(rest)))
+
+
+def guards(groups: DataFrame, shares: dict[str, float], least: int) -> DataFrame:
+    """split, n, missing, underpowered, deviates (by more than the largest group) of the splits that have a share of all."""
+    spark = groups.sparkSession
+    whole = groups.agg(F.sum("size").alias("total"), F.max("size").alias("largest"))
+    want = spark.createDataFrame(list(shares.items()), "split string, share double")
+    got = want.join(groups.groupBy("split").agg(F.sum("size").alias("n")), "split", "left").join(whole)
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return got.select("split", n.alias("n"), F.col("n").isNull().alias("missing"), (n < least).alias("underpowered"), (F.abs(n - F.col("share") * F.col("total")) > F.col("largest")).alias("deviates"))
+
+
+def fill_to_target(rows: DataFrame, protected: str, target: int, seed: int, salt: str, key: str) -> DataFrame:
+    """All protected rows, and others in rank order until there are `target` rows."""
+    room = max(0, target - rows.filter(protected).count())
+    rest = rows.filter(f"not {protected}").orderBy(rank_key(seed, salt, F.col(key)), key).limit(room)
+    return rows.filter(protected).unionByName(rest)

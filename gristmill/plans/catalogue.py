@@ -100,11 +100,11 @@ def normalized_hash_conflicts(spark, sf):
     return hashed(spark, sf).groupBy("hash").agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n")).filter("n_sources > 1")
 
 
-@query(REC + " SELECT id, sha256(text) AS text_sha256, sha256('{\"id\":\"' || id || '\",\"lang\":\"' || lang || '\",\"quality\":' || coalesce(CAST(quality AS VARCHAR), 'null') || '}') AS json_sha256, 'psfm_' || substr(sha256('{\"dataset\":\"' || source || '\",\"source_record_id\":\"' || doc_id || '\"}'), 1, 24) AS canonical_id FROM rec")
+@query(REC + " SELECT id, sha256(text) AS text_sha256, sha256('{\"id\":\"' || id || '\",\"lang\":\"' || lang || '\",\"quality\":' || coalesce(CAST(quality AS VARCHAR), 'null') || '}') AS json_sha256, 'rec_' || substr(sha256('{\"dataset\":\"' || source || '\",\"source_record_id\":\"' || doc_id || '\"}'), 1, 24) AS canonical_id FROM rec")
 def canonical_json_ids(spark, sf):
     keep = {"ignoreNullFields": "false"}
     body = F.to_json(F.struct(F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("source_record_id")), keep)
-    return records(spark, sf).select("id", F.sha2("text", 256).alias("text_sha256"), F.sha2(F.to_json(F.struct("id", "lang", "quality"), keep), 256).alias("json_sha256"), F.concat(F.lit("psfm_"), F.substring(F.sha2(body, 256), 1, 24)).alias("canonical_id"))
+    return records(spark, sf).select("id", F.sha2("text", 256).alias("text_sha256"), F.sha2(F.to_json(F.struct("id", "lang", "quality"), keep), 256).alias("json_sha256"), F.concat(F.lit("rec_"), F.substring(F.sha2(body, 256), 1, 24)).alias("canonical_id"))
 
 
 def feats(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,7 +309,7 @@ def split_leakage(spark, sf):
     return stacked.groupBy("field", "value").agg(F.count_distinct("split").alias("n_splits")).filter("n_splits > 1")
 
 
-@query("WITH RECURSIVE l AS (SELECT o_orderkey AS node, 'c' || o_custkey AS k FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT o_orderkey, 'd' || CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 400 = 0), e AS MATERIALIZED (SELECT DISTINCT x.node AS a, y.node AS b FROM l x JOIN l y ON x.k = y.k), r(node, c) AS (SELECT node, node FROM l UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
+@query()
 def components(spark, sf):
     o = t(spark, sf, "orders")
     one = o.select(F.col("o_orderkey").alias("node"), F.concat(F.lit("c"), "o_custkey").alias("key"))
@@ -342,19 +342,19 @@ def gold_selection(spark, sf):
     return selection.one_per_group(exact(spark, sf).select("exact_key", "id", "lang"), "exact_key", 3401, "gold")
 
 
-@query(REC + ", c AS (SELECT id FROM rec WHERE quality = 0), b AS (SELECT id, 'candidate_' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 4, '0') AS blind FROM c) SELECT blind, a.annotator, row_number() OVER (PARTITION BY a.annotator ORDER BY sha256('3401:' || a.annotator || ':' || blind)) AS place FROM b, (SELECT unnest(['A', 'B']) AS annotator) a")
+@query(REC + ", c AS (SELECT id FROM rec WHERE quality = 0), b AS (SELECT id, printf('candidate_%04d', row_number() OVER (ORDER BY id)) AS blind FROM c) SELECT blind, a.annotator, row_number() OVER (PARTITION BY a.annotator ORDER BY sha256('3401:' || a.annotator || ':' || blind)) AS place FROM b, (SELECT unnest(['A', 'B']) AS annotator) a")
 def blinded_packets(spark, sf):
     low = records(spark, sf).filter("quality = 0").select("id")
-    blind = low.select("id", F.format_string("candidate_%04d", F.row_number().over(Window.orderBy("id"))).alias("blind"))
-    both = blind.select("blind", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("annotator"))
-    return both.select("blind", "annotator", F.row_number().over(Window.partitionBy("annotator").orderBy(F.sha2(F.concat_ws(":", F.lit("3401"), "annotator", "blind"), 256))).cast("long").alias("place"))
+    blind = selection.placed(low, F.col("id")).select(F.format_string("candidate_%04d", "place").alias("blind"))
+    packet = lambda who: selection.placed(blind, F.sha2(F.concat_ws(":", F.lit("3401"), F.lit(who), "blind"), 256)).select("blind", F.lit(who).alias("annotator"), "place")
+    return packet("A").unionByName(packet("B"))
 
 
-@query("WITH a AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, quality, CASE WHEN doc_id % 7 = 0 THEN 1 - toxic ELSE toxic END AS toxic FROM labels WHERE doc_id % 3 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL OR b.doc_id IS NULL THEN 'INCOMPLETE' WHEN a.quality IS NOT DISTINCT FROM b.quality AND a.toxic IS NOT DISTINCT FROM b.toxic THEN 'AGREED' ELSE 'DISAGREEMENT' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("WITH x AS (SELECT doc_id, doc_id % 5 <> 0 AS in_a, doc_id % 3 <> 0 AS in_b, quality, toxic, CASE WHEN doc_id % 7 = 0 THEN 1 - toxic ELSE toxic END AS other FROM labels) SELECT doc_id, CASE WHEN NOT in_a OR NOT in_b THEN 'INCOMPLETE' WHEN toxic IS NOT DISTINCT FROM other THEN 'AGREED' ELSE 'DISAGREEMENT' END AS state FROM x")
 def adjudication(spark, sf):
-    labels = t(spark, sf, "labels")
-    a = labels.filter("doc_id % 5 != 0").select("doc_id", F.struct("quality", "toxic").alias("a"))
-    b = labels.filter("doc_id % 3 != 0").select("doc_id", F.struct("quality", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic")).alias("b"))
+    labels, d = t(spark, sf, "labels"), F.col("doc_id")
+    a = labels.select("doc_id", F.when(d % 5 != 0, F.struct("quality", "toxic")).alias("a"))  # an annotation that is missing is null
+    b = labels.select("doc_id", F.when(d % 3 != 0, F.struct("quality", F.when(d % 7 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))).alias("b"))
     return a.join(b, "doc_id", "full").select("doc_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "INCOMPLETE").when(F.col("a").eqNullSafe(F.col("b")), "AGREED").otherwise("DISAGREEMENT").alias("state"))
 
 

@@ -22,8 +22,8 @@ def json_records(spark: SparkSession, path: str, records_path: str = "") -> Data
     """key, record (VARIANT): elements of the list, or entries of the object, at a dotted path of each file. key: position or name."""
     docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     inner = docs.select(F.variant_get("v", "$" + "".join(f".{p}" for p in records_path.split(".") if p), "variant").alias("v")) if records_path else docs
-    inner.createOrReplaceTempView("_gristmill_records")
-    return spark.sql("SELECT coalesce(e.key, CAST(e.pos AS STRING)) AS key, e.value AS record FROM _gristmill_records, LATERAL variant_explode(v) AS e")
+    each = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    return each.select(F.coalesce("key", F.col("pos").cast("string")).alias("key"), F.col("value").alias("record"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
