@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from ._common import settled, slices, stored
 from .tokens import AT_ONCE, END, encoder, ids_of
 
+#: Bytes of text that are encoded at a time: half as many as elsewhere, since packing comes last in pipelines, when executors are full.
+SLICE = AT_ONCE // 2
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
 
@@ -79,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int | None = END
         coder, pid, met = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         tail = b"" if end is None else int(end).to_bytes(4, "little")
         for batch in batches:
-            for part in slices(batch, most=AT_ONCE):
+            for part in slices(batch, most=SLICE):
                 rows = []
                 for doc_id, data in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text")), strict=True):
                     data += tail

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 2 << 20
+AT_ONCE = 8 << 20
 #: End-of-document id that the queries append.
 END = 2
 
