@@ -531,3 +531,20 @@ def test_pipeline_stages(spark):
     assert 0 < given.count() <= docs.count()
     assert corpus_pipeline.run(spark, sf).count() == corpus_pipeline.packed(spark, given, sf).count()
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Nulls, repeated rows, empty tables, and columns named like those that the operators make."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, name in enumerate(("score", "Predicted", "n_words", "hit_items", "contaminated", "_w", "_bits", "_key", "secrets")):
+        given = given.withColumn(name, F.lit(99 + k))
+    odd = given.limit(1)
+    given = given.unionByName(odd).unionByName(odd.withColumn("text", F.lit(None).cast("string"))).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, sf)
+        assert out.columns == given.columns, name
+        assert {(x["score"], x["Predicted"], x["_w"], x["_key"], x["secrets"]) for x in out.select("score", "Predicted", "_w", "_key", "secrets").distinct().collect()} == {(99, 100, 104, 106, 107)}, name
+        assert stage(spark, given.limit(0), sf).count() == 0, name
