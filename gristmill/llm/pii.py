@@ -4,11 +4,12 @@ Seeds are what four expressions and their checks find. The words around a seed
 are its lexical patterns: the two or three before it, the one before and the
 one after, the two after (lower-cased, digits as 0). Every word of every text
 that stands in a pattern that three distinct seeds support, and is no part of a
-seed, is another instance. Patterns have to be sixteen times as common next to
-seeds as their pair of words is in the stretches before seeds. Pattern-instance pairs form a graph that is scored
-in turns: a pattern of a kind is as good as the mean score of its distinct
-instances, an instance as good as the noisy-or of its patterns. In the mean,
-seeds of the kind are sure; one bad instance is added, so that few instances
+seed, is another instance. Patterns have to be sixteen times as common at seeds
+(distinct ones, of all kinds) as their pair of words is at the words that are no
+part of a seed; pairs are counted in every text whole. Pattern-instance pairs
+form a graph that is scored in turns: a pattern of a kind is as good as the mean
+score of its distinct instances, an instance as good as the noisy-or of its
+patterns. In the mean, seeds of the kind are sure; one bad instance is added, so that few instances
 weigh little; others weigh a quarter of the square root of how often they occur
 there, so that many plain ones don't drown a pattern but a common word does; and
 a score counts from the threshold on alone, so that patterns don't raise
@@ -42,9 +43,9 @@ BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 #: Words, and what is cut off at both ends of a candidate.
 WORD, EDGE = r"\S++", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$"
 LEAST_SEEDS, LEAST_SCORE, ROUNDS = 3, 0.6, 3
-#: Pairs of words before a seed that show what is common, and how many times as common a pattern has to be next to seeds.
-CONTROL, LIFT = 32, 16
-#: Bits of the filter over supported patterns (one size for any number of them), and lengths that are summed at a time.
+#: How many times as common a pattern has to be at seeds as its pair of words at other words.
+LIFT = 16
+#: Bits of the filters over patterns (one size for any number of them), and lengths that are summed at a time.
 FILTER_BITS, RUN = 1 << 18, 128
 
 
@@ -86,19 +87,23 @@ def luhn(value: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(d)), lambda i: F.when(of(i) > 9, of(i) - 9).otherwise(of(i))), F.lit(0), lambda a, b: a + b) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end, value, left, right) of the four expressions, by kind, then start."""
+def finds(text: Column) -> dict[str, tuple]:
+    """Of each kind: whether text may have matches, its expression, and the check of a match (None: all pass)."""
     has_digit = text.rlike("[0-9]")
     n = lambda m: F.length(digits(m["value"]))
-    finds = {
+    return {
         "email": (F.contains(text, F.lit("@")), EMAIL, None),
         "ip": (has_digit, IP, lambda m: F.forall(F.split(m["value"], "\\."), lambda p: p.rlike(BYTE))),
         "card": (has_digit, CARD, lambda m: (n(m) <= 19) & luhn(m["value"])),
         "phone": (has_digit & F.contains(text, F.lit("+")), PHONE, lambda m: n(m).between(9, 15)),
     }
+
+
+def base_spans(text: Column) -> Column:
+    """Array of (kind, start, end, value, left, right) of the four expressions, by kind, then start."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>")
     out = []
-    for kind, (maybe, pattern, good) in finds.items():
+    for kind, (maybe, pattern, good) in finds(text).items():
         found = matches(text, pattern)
         found = F.filter(found, good) if good else found
         name = F.lit(kind)
@@ -127,12 +132,53 @@ def patterns(b: list[Column], a: list[Column]) -> Column:
     return F.array_compact(F.array(*[F.when(there, F.struct(id_.alias("id"), key.alias("key"))) for there, id_, key in all_]))
 
 
-def control(left: Column) -> Column:
-    """Keys of the pairs of words that stand farther before a place, beyond its patterns: CONTROL of them at most. They tell how common a pair is."""
-    tail = F.reverse(F.regexp_extract(F.reverse(left), r"^\s+\S+(?:\s+\S+){0,%d}" % (CONTROL + 3), 0))
-    words = F.regexp_extract_all(plain(tail), F.lit(WORD), F.lit(0))
-    pairs = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i < F.size(w) - 5), lambda i: F.array(next_to(F.get(w, i), F.get(w, i + 1)), around(F.get(w, i), F.get(w, i + 2))))
-    return F.flatten(let(words, pairs))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def seed_words(text: Column) -> Column:
+    """Indexes of the words of text that overlap a span of the four expressions."""
+
+    def covered(maybe: Column, pattern: str, good) -> Column:
+        """The words of text with # for what the spans of one kind cover: no span has a #, and white space stays, so words keep their places."""
+        hide = lambda m: F.regexp_replace(m["value"], r"\S", "#")
+        cover = lambda m: F.concat(m["left"], F.when(good(m), hide(m)).otherwise(m["value"]) if good else hide(m))
+        whole = lambda found: F.array_join(F.concat(F.transform(found, cover), F.array(F.get(found, F.size(found) - 1)["right"])), "")
+        return F.when(maybe, words_of(let(matches(text, pattern), whole)))
+
+    differs = lambda raw, masks, i: F.exists(masks, lambda m: F.coalesce(F.get(m, i) != F.get(raw, i), F.lit(False)))
+    at = lambda raw, masks: F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: differs(raw, masks, i))
+    return let(words_of(text), lambda raw: let(F.array(*[covered(*x) for x in finds(text).values()]), lambda masks: at(raw, masks)))
+
+
+def keys_beside(text: Column, some: Column) -> Column:
+    """Keys of the pairs of words next to and around the words with the indexes `some`; a pair that stands between two of them comes once."""
+    apart = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i - 2, i + 1))))
+    pairs = lambda w, at: F.transform(F.filter(apart(at), lambda i: (i >= 0) & (i < F.size(w) - 1)), lambda i: next_to(F.get(w, i), F.get(w, i + 1)))
+    both = lambda w, at: F.transform(F.filter(at, lambda i: (i > 0) & (i < F.size(w) - 1)), lambda i: around(F.get(w, i - 1), F.get(w, i + 1)))
+    return let(words_of(plain(text)), lambda w: let(some, lambda at: F.concat(pairs(w, at), both(w, at))))
+
+
+def slot(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(FILTER_BITS)).cast("int")
+
+
+def slots(some: DataFrame, of: str) -> Column:
+    """A filter of one size for any number of hashes: true at the slots of those in the column `of`."""
+    table = some.agg(F.array_sort(F.collect_set(slot(F.col(of)))).alias("at"))
+    return table.select(F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), "at"), F.concat("at", F.array(F.lit(FILTER_BITS))), lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True))))).alias("t")).scalar()
+
+
+def counted(given: DataFrame, sought: DataFrame) -> DataFrame:
+    """key, c: how often the pairs of words sought (and few others) stand in all texts."""
+
+    def keys(w: Column) -> Column:
+        each = F.sequence(F.lit(0), F.size(w) - 2)
+        # the last word but one has none around: its hash is no pair's
+        return F.concat(F.transform(each, lambda i: next_to(F.get(w, i), F.get(w, i + 1))), F.transform(each, lambda i: around(F.get(w, i), F.get(w, i + 2))))
+
+    every = given.select(F.explode(let(words_of(plain(F.col("text"))), lambda w: F.when(F.size(w) > 1, keys(w)))).alias("key"))
+    return every.filter(F.get(slots(sought, "key"), slot(F.col("key")))).groupBy("key").agg(F.count("*").alias("c"))
 
 
 def near(left: Column, right: Column) -> Column:
@@ -147,17 +193,23 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base (array of kind, start, end of the expressions), spans (with those discovered), by kind as listed, then start."""
     given = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     mark = F.xxhash64("text").alias("mark")
-    base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), near(b["left"], b["right"]).alias("patterns"), control(b["left"]).alias("control")))
-    rows = stored(given.select("doc_id", mark, base_spans(F.col("text")).alias("base")).select("doc_id", "mark", base.alias("base")), "pii")
+    base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), near(b["left"], b["right"]).alias("patterns")))
+    rows = given.select("doc_id", "text", base_spans(F.col("text")).alias("base")).withColumn("at", F.when(F.size("base") > 0, seed_words(F.col("text"))))
+    others = F.size(words_of(F.col("text"))) - F.coalesce(F.size("at"), F.lit(0))
+    rows = stored(rows.select("doc_id", mark, base.alias("base"), F.when(F.size("base") > 0, keys_beside(F.col("text"), F.col("at"))).alias("beside"), others.alias("others")), "pii")
     short = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
 
     found = rows.select(F.explode("base").alias("b")).select(F.explode("b.patterns").alias("p"), F.xxhash64(F.lower("b.value")).alias("instance"), F.col("b.kind").alias("own")).select(F.col("p.id").alias("pattern"), "p.key", "instance", "own").distinct()
     supported = found.groupBy("pattern", F.col("own").alias("kind")).agg(F.count_distinct("instance").alias("n"), F.first("key").alias("key")).filter(F.col("n") >= LEAST_SEEDS)
-    # a pair that is as common elsewhere stands before seeds by chance
-    common = rows.select(F.explode("base").alias("b")).select(F.explode("b.control").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
-    sizes = rows.select(F.explode("base").alias("b")).agg(F.count("*").alias("seeds"), F.sum(F.size("b.control") / 2).alias("places"))
-    rare = F.coalesce("c", F.lit(0)) * LIFT * F.col("seeds") <= F.col("n") * F.col("places")
-    supported = supported.join(common, "key", "left").join(F.broadcast(sizes)).filter(F.col("c").isNull() | rare).select("pattern", "kind", "key")
+    supported = stored(supported, "pii-candidates")
+    # a pair that is as common at other words stands at seeds by chance
+    common = counted(given, supported)
+    beside = rows.select(F.explode("beside").alias("key")).groupBy("key").agg(F.count("*").alias("own"))
+    seeds = rows.select(F.explode("base").alias("b")).agg(F.count_distinct("b.kind", F.lower("b.value")).cast("double").alias("seeds"))
+    sizes = seeds.join(F.broadcast(rows.agg(F.sum("others").cast("double").alias("others"))))
+    supported = supported.join(common, "key", "left").join(beside, "key", "left").join(F.broadcast(sizes))
+    elsewhere = F.coalesce("c", F.lit(0)) - F.coalesce("own", F.lit(0))
+    supported = supported.filter(elsewhere * LIFT * F.col("seeds") <= F.col("n") * F.col("others")).select("pattern", "kind", "key")
     supported = stored(supported, "pii-patterns")
     plain_ = rows.select("doc_id", "mark", short.alias("base"))
     more = discovered(given, plain_, found, supported)
@@ -169,10 +221,6 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def discovered(given: DataFrame, rows: DataFrame, found: DataFrame, supported: DataFrame) -> DataFrame:
     """doc_id, mark, more: the spans of instances that supported patterns discover."""
-    slot = lambda key: F.pmod(key, F.lit(FILTER_BITS)).cast("int")
-    # a filter of one size for any number of patterns: true at the slots of their keys
-    table = supported.agg(F.array_sort(F.collect_set(slot(F.col("key")))).alias("at"))
-    table = table.select(F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), "at"), F.concat("at", F.array(F.lit(FILTER_BITS))), lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True))))).alias("t")).scalar()
     known = lambda key: F.get("table", slot(key))
 
     def places(w: Column) -> Column:
@@ -187,9 +235,9 @@ def discovered(given: DataFrame, rows: DataFrame, found: DataFrame, supported: D
         made = lambda words: F.transform(some, lambda i: F.struct(F.get(words, i)["start"].alias("start"), F.get(words, i)["value"].alias("value"), patterns([word(i - k) for k in (1, 2, 3)], [word(i + k) for k in (1, 2)]).alias("patterns")))
         return F.when(F.size(some) > 0, let(matches(F.col("text"), WORD), made))  # starts are summed where they are asked for
 
-    words = F.regexp_extract_all(plain(F.col("text")), F.lit(WORD), F.lit(0))
+    words = words_of(plain(F.col("text")))
     hits = F.when(F.col("text").rlike(r"\S"), let(words, lambda w: let(places(w), lambda some: hits_of(w, some))))
-    text = given.select("doc_id", F.xxhash64("text").alias("mark"), "text", table.alias("table"))
+    text = given.select("doc_id", F.xxhash64("text").alias("mark"), "text", slots(supported, "key").alias("table"))
     hits = text.select("doc_id", "mark", F.explode(hits).alias("h")).select("doc_id", "mark", "h.start", "h.value", F.explode("h.patterns.id").alias("pattern"))
     cut = F.regexp_replace("value", EDGE, "")
     start = F.col("start") + F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+]+", ""))

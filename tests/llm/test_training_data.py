@@ -375,6 +375,50 @@ def test_pii(spark, rows):
     assert pii.personal_data(empty(spark)).count() == 0
 
 
+def test_pii_patterns_are_counted_in_every_text(spark):
+    def more(given):
+        out = pii.personal_data(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()
+        return {(x["doc_id"], given[x["doc_id"]][b["start"] : b["end"]]) for x in out for b in x["spans"] if b not in x["base"]}
+
+    # common in texts without seeds: no sign of personal data
+    seeds = [f"user{k}@mail.org is my mail" for k in range(8)]
+    assert more(seeds + ["plain is my mail"] * 100) == set()
+    # the same far behind seeds, in their own texts
+    assert more([x + " lorem" * 60 + " plain is my mail" * 13 for x in seeds]) == set()
+    # common before seeds, but not in the texts at large; copies of all rows change nothing
+    known = [f"call my number ask-me or if there is none then please do call my number +1 555 010 {k}000 today" for k in range(1, 9)]
+    known += [" ".join(f"w{k}x{j}" for j in "abcdefgh") for k in range(200)]
+    assert more(known) == {(k, "ask-me") for k in range(8)}
+    assert more(known * 3) == {(k + c * len(known), "ask-me") for k in range(8) for c in range(3)}
+
+
+def test_pii_counts_of_pairs(spark):
+    r = random.Random(11)
+    bits = ["a@b.co", "1.2.3.4", "300.1.1.1", "4111 1111-1111 1111", "+1 (555) 010-9999", "(x@y.z),", "+1 4111111111111111", "my", "Number", "is", "7", "#", "é日", "a@"]
+    given = [r.choice([" ", "\n", "  ", ""]).join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(300)] + [" ", None]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    at, ids, counts = pii.seed_words(F.col("text")), {}, defaultdict(int)
+    got = {x["doc_id"]: x for x in docs.select("doc_id", at.alias("at"), pii.keys_beside(F.col("text"), at).alias("keys")).collect()}
+    for k, t in enumerate(given):
+        t = t or ""
+        spans = [m.span() for kind in PII for m in re.finditer(PII[kind], t) if good(kind, m[0])]
+        words = list(re.finditer(r"[^ \n]+", t))
+        w = [re.sub("[0-9]", "0", m[0].lower()) for m in words]
+        at = [i for i, m in enumerate(words) if any(m.start() < b and a < m.end() for a, b in spans)]
+        assert got[k]["at"] == at, t
+        pairs = [i for i in dict.fromkeys(j for i in at for j in (i - 2, i + 1)) if 0 <= i < len(w) - 1]
+        want = [(0, *w[i : i + 2]) for i in pairs] + [(2, w[i - 1], w[i + 1]) for i in at if 0 < i < len(w) - 1]
+        assert len(got[k]["keys"]) == len(want)
+        for g, x in zip(got[k]["keys"], want, strict=True):  # one key a pair, one pair a key
+            assert ids.setdefault(g, x) == x and ids.setdefault(x, g) == g
+        for i in range(len(w)):
+            for x in ([(0, *w[i : i + 2])] if i + 1 < len(w) else []) + ([(2, w[i], w[i + 2])] if i + 2 < len(w) else []):
+                counts[x] += 1
+    sought = spark.createDataFrame([(x,) for x in ids if isinstance(x, int)], "key long")
+    found = {x["key"]: x["c"] for x in pii.counted(docs, sought).collect()}
+    assert {x: found[k] for k, x in ids.items() if isinstance(k, int)} == {x: counts[x] for x in ids if not isinstance(x, int)}
+
+
 def test_decontamination(spark, docs, rows):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
     r = random.Random(9)
